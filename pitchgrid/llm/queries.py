@@ -5,28 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitchgrid.llm import mixing, token_counts, token_files, vocabularies
+from pitchgrid.llm import bpe, hilbert_search, html_text, itq_dedup, mixing, token_counts, token_files, toxicity, vocabularies
 from pitchgrid.llm.common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabularies.public_path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = (mixing.FADING, mixing.CONSTANT, mixing.RISING)
     planned = mixing.plan(table(spark, sf_dir, "documents"), lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3])
     return mixing.by_position(planned).drop("copies")
 
 
+def op3_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabularies.public_path("byte_bpe_50k.json"))
 
 
+def op7_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store_and_read(table(spark, sf_dir, "documents"), vocabularies.public_path("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_mix_sources": op2_mix_sources,
+    "op3_hilbert_search": op3_hilbert_search,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_itq_near_dedup": op7_itq_near_dedup,
+    "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }
 
