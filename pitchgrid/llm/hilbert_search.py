@@ -79,7 +79,7 @@ def search(
     vec_col: str = "embedding",
     k: int = 20,
     curves: int = 8,
-    window_share: float = 0.16,
+    window_share: float = 0.18,
     dims: int = 4,
     bits: int = 12,
     sample_rows: int = 10_000,

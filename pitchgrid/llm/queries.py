@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import bpe, hilbert_search, html_text, itq_dedup, mixing, token_counts, token_files, toxicity, vocabularies
+from pitchgrid.llm import bpe, hilbert_search, html_text, itq_dedup, mixing, ngram_join, token_counts, token_files, toxicity, vocabularies
 from pitchgrid.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_itq_near_dedup": op7_itq_near_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
     "op10_token_files": op10_token_files,
 }

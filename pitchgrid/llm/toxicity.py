@@ -105,7 +105,7 @@ def fit(
     max_labelled: int = 20_000,
     max_features: int = 4_000,
     min_docs: int = 5,
-    penalty: float = 2e-4,
+    penalty: float = 0.03,
     severe_words: int = 5,
 ) -> Model | None:
     """A model from labelled documents; None where no or all labels are positive.
@@ -115,6 +115,7 @@ def fit(
     larger labels keep their grade. Null ids and labels take no part; an id with several labels has the largest.
     At most ``max_labelled`` documents are used, those with the least hash of their id; ``max_features`` words are
     screened by the z-score of their document frequencies among words in ``min_docs`` documents at least.
+    The L1 penalty is ``penalty`` over the root of the number of documents.
     The driver holds those documents' screened features, nothing that grows with the corpus.
     """
     spark = docs.sparkSession
@@ -169,7 +170,7 @@ def fit(
     # grades without a document would have no threshold of their own
     _, grades = np.unique(grades, return_inverse=True)
     scratch.drop()
-    w, th = fit_ordinal(rows, cols, (len(ys), len(place)), grades, penalty)
+    w, th = fit_ordinal(rows, cols, (len(ys), len(place)), grades, penalty / np.sqrt(len(ys)))
     return Model({r["word"]: float(x) for r, x in zip(kept, w, strict=True) if x}, tuple(float(x) for x in th))
 
 
