@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import bpe, hilbert_search, html_text, itq_dedup, mixing, ngram_join, token_counts, token_files, toxicity, vocabularies
+from pitchgrid.llm import bpe, hilbert_search, html_text, itq_dedup, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity, vocabularies
 from pitchgrid.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabularies.public_path("byte_bpe_50k.json"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_hilbert_search": op3_hilbert_search,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_itq_near_dedup": op7_itq_near_dedup,
     "op8_ngram_join": op8_ngram_join,
