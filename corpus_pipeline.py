@@ -1,13 +1,93 @@
-"""Five stages over ``documents``; filled in as the operators come."""
+"""A training corpus from ``documents`` in five stages, each one operator of pitchgrid.llm.
+
+Every stage works on all that its predecessor kept, as written to Parquet and read again; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchgrid.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity, vocabularies
+from pitchgrid.llm.common import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labels, grades 1 or more go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(~toxicity.rejected(model)("text"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that link by shingle Jaccard, the one with the least id stays.
+
+    Of rows that share an id, one stays; rows without an id stay."""
+    scratch = Scratch(spark)
+    groups = ngram_join.near_duplicates(docs)
+    gone = scratch.write(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    again = scratch.write(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by 50-byte strings of documents with smaller ids are cut out; texts of which nothing is left go.
+
+    Bytes of a character that was cut in part go too; n_chars is that of the text that is left."""
+
+    @F.pandas_udf("string")
+    def readable(kept):
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(docs, carry=[*others, "n_chars"]).filter("n_removed < n_bytes or n_bytes = 0")
+    text = F.when(F.col("n_removed") > 0, readable("kept")).otherwise(F.col("kept").cast("string"))
+    cut = cut.withColumn("text", text)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to weights 1, 2, 3, repeating, over a curriculum: documents that the mix doesn't take go,
+    those that it takes more than once are repeated, and all are range-sorted by training position."""
+    shapes = (mixing.FADING, mixing.CONSTANT, mixing.RISING)
+    scratch = Scratch(spark)
+    planned = mixing.plan(docs, lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3], whole=True)
+    copies = planned.groupBy("doc_id").agg(F.first("copies").alias("copies")).select(F.col("doc_id").alias("_id"), F.explode("copies").alias("_c"))
+    copies = scratch.write(copies.select("_id", F.col("_c.copy").alias("_copy"), F.col("_c.position").alias("_position")))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.orderBy("_position", "_id", "_copy").select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row (little-endian unsigned 32-bit integers), their hash, and that of the decoded bytes."""
+    import public_tokenizers
+
+    path = vocabularies.public_path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", remove_repeats),
+    ("mix", mix_sources),
+    ("tokens", encode_tokens),
+]
+
+#: SQL can't express the model, the suffix removal and the tokens; the tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = Scratch(spark).write(docs)
     return docs

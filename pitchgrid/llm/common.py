@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parquet written between steps; zstd keeps binary blobs that are already dense as they are.
@@ -70,26 +70,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Only the id and the text, under names that can't clash: ``id`` long and ``text`` string, null text as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of rows gathered until their texts reach ``max_bytes``; a longer text comes alone or last."""
-    ids: list = []
-    out: list = []
+def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[list[list]]:
+    """Columns of rows gathered until the second one's texts reach ``max_bytes``; a longer text comes alone or last."""
+    out: list[list] = []
     held = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            out.append(t)
-            held += len(t)
+        columns = [c.to_pylist() for c in batch.columns]
+        out = out or [[] for _ in columns]
+        for row in zip(*columns, strict=True):
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+            held += len(row[1])
             if held >= max_bytes:
-                yield ids, out
-                ids, out, held = [], [], 0
-    if ids:
-        yield ids, out
+                yield out
+                out, held = [[] for _ in columns], 0
+    if out and out[0]:
+        yield out
 
 
 def log2_ceil(n: int) -> int:

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pitchgrid.llm.common import Scratch, log2_ceil, partitions, rows_of, texts
 from pitchgrid.llm.ngram_join import _pack, _unpack
@@ -120,9 +121,10 @@ def remove_repeats(
     text_col: str = "text",
     chunk_bytes: int = 4 << 20,
     shard_memory: int = 128 << 20,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``
-    (binary: the remaining bytes).
+    (binary: the remaining bytes), with the columns named in ``carry`` before them.
 
     Removed is each UTF-8 byte covered by a ``length``-byte string that also starts in a document with a smaller id;
     strings are judged on the input. Null and empty texts have 0 bytes. A null id neither removes nor loses bytes;
@@ -138,13 +140,16 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        for k, (ids, whole) in enumerate(rows_of(batches, chunk_bytes)):
+        for k, (ids, whole, extra) in enumerate(rows_of(batches, chunk_bytes)):
             coded = [t.encode() for t in whole]
             blob = zstandard.ZstdCompressor(level=3).compress(_GAP.join(coded))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([at + k, ids, [len(c) for c in coded], blob], kinds, strict=True)], ["chunk", "ids", "sizes", "blob"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(extra_kind), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip([at + k, ids, [len(c) for c in coded], extra, blob], kinds, strict=True)], ["chunk", "ids", "sizes", "extra", "blob"])
 
-    chunks = scratch.write_bucketed(texts(docs, id_col, text_col).mapInArrow(cut, "chunk long, ids array<long>, sizes array<long>, blob binary"), tasks, "chunk")
+    plain = texts(docs, id_col, text_col, F.struct(*carry, F.lit(True).alias("_")).alias("extra"))
+    extra_type = plain.schema["extra"].dataType
+    extra_kind = to_arrow_type(extra_type)
+    chunks = scratch.write_bucketed(plain.mapInArrow(cut, f"chunk long, ids array<long>, sizes array<long>, extra array<{extra_type.simpleString()}>, blob binary"), tasks, "chunk")
 
     def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for k in range(batch.num_rows):
@@ -284,18 +289,20 @@ def remove_repeats(
                 held, rows = 0, []
                 for k, (i, a, n) in enumerate(zip(row["ids"], starts.tolist(), sizes.tolist(), strict=True)):
                     kept = b[a : a + n][~gone[a : a + n]].tobytes() if removed[k] else raw[a : a + n]
-                    rows.append((i, n, int(removed[k]), int(spans[k]), kept))
+                    rows.append((i, row["extra"][k], n, int(removed[k]), int(spans[k]), kept))
                     held += n
                     if held >= 1 << 21:
-                        yield _batch(rows, id_col)
+                        yield _batch(rows, extra_kind)
                         rows, held = [], 0
                 if rows:
-                    yield _batch(rows, id_col)
+                    yield _batch(rows, extra_kind)
 
-    joined = chunks.join(runs.hint("merge"), "chunk", "left").select("ids", "sizes", "blob", "runs")
-    return joined.mapInArrow(unite, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = chunks.join(runs.hint("merge"), "chunk", "left").select("ids", "sizes", "extra", "blob", "runs")
+    done = joined.mapInArrow(unite, f"id long, extra {extra_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.select(F.col("id").alias(id_col), *(F.col("extra")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _batch(rows: list[tuple], id_col: str) -> pa.RecordBatch:
-    kinds = [*[pa.int64()] * 4, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+def _batch(rows: list[tuple], extra_kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), extra_kind, *[pa.int64()] * 3, pa.binary()]
+    names = ["id", "extra", "n_bytes", "n_removed", "n_spans", "kept"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
