@@ -33,6 +33,79 @@ _BLOCKS = "shard int, block int, dict_sha256 string, width int, first long, toke
 #: What Python splits at and the tokenizer doesn't take for white space.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
+#: What the tokenizer's pre-tokenizer takes for a part of a lower-cased ASCII word.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class _WordIds:
+    """Serialized ids of words, each encoded once while it is remembered.
+
+    Words are remembered in two generations: when the young one has ``keep`` words it becomes the old one, so words
+    that recur stay. New words go to the library joined by spaces, which its pre-tokenizer drops; an id that ends a
+    pre-token is known from the vocabulary, so counting a word's pre-tokens tells its ids apart. Words whose
+    pre-tokens can't be counted for sure are encoded alone.
+    """
+
+    def __init__(self, path: str, keep: int):
+        self.library, self.kind, self.keep = vocabularies.tokenizer(path), id_type(path), keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def of(self, docs: list[list[str]]) -> list[bytes]:
+        young, old = self.young, self.old
+        new = []
+        for w in {w for words in docs for w in words}:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        found = young.__getitem__
+        out = [b"".join(map(found, words)) for words in docs]
+        if len(young) > self.keep:
+            self.young, self.old = {}, young
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        joined, counts, alone = [], [], []
+        for w in new:
+            if w.isalpha() and w.lower().isalpha():
+                joined.append(w)
+                counts.append(1)
+            elif w.isascii() and "<|" not in w:
+                joined.append(w)
+                counts.append(len(_ASCII_PARTS.findall(w.lower())))
+            else:
+                alone.append(w)
+        for k in range(0, len(joined), 20_000):
+            words, n = joined[k : k + 20_000], np.array(counts[k : k + 20_000], np.int64)
+            texts_ = [" ".join(words[j : j + 50]) for j in range(0, len(words), 50)]
+            ids = np.array([*chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts_, add_special_tokens=False))], self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != n.sum() or not n.all():
+                alone += words
+                continue
+            width, raw = ids.itemsize, ids.tobytes()
+            at = [0, *(stops[np.cumsum(n) - 1] * width).tolist()]
+            self.young.update((w, raw[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+        for k in range(0, len(alone), 20_000):
+            words = alone[k : k + 20_000]
+            coded = self.library.encode_batch(words, add_special_tokens=False)
+            self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, coded, strict=True))
+
+
+#: One per worker process and file, so that tasks after the first find words known.
+_KNOWN: dict[str, _WordIds] = {}
+
+
+def _word_ids(path: str, keep: int) -> _WordIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = _WordIds(path, keep)
+    return _KNOWN[path]
 
 
 def encode_ids(
@@ -42,34 +115,29 @@ def encode_ids(
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_bytes: int = 4 << 20,
-    keep: int = 300_000,
+    keep: int = 500_000,
 ) -> DataFrame:
     """One row per input row: ``id``, ``n_tokens`` and ``ids``, a zstandard frame of little-endian ids.
 
-    For tokenizers whose normaliser and pre-tokenizer drop white space and act within words, so each distinct word
-    of a batch is encoded once. ``end_id`` is appended to every document. Null and empty texts have no other id.
+    For tokenizers whose normaliser and pre-tokenizer drop white space and act within words, and whose words end in
+    ``</w>``: each distinct word is encoded once while a worker remembers it (``keep``, see _WordIds). ``end_id`` is
+    appended to every document. Null and empty texts have no other id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = vocabularies.tokenizer(tokenizer_path)
-        kind = id_type(tokenizer_path)
+        from pitchgrid.llm.token_files import _word_ids  # the worker's own, not a pickled copy
+
+        kind = np.dtype(id_type(tokenizer_path))
+        words_of = _word_ids(tokenizer_path, keep)
         pack = zstandard.ZstdCompressor(level=3)
-        known: dict[str, list[int]] = {}
-        end = [] if end_id is None else [end_id]
+        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for ids, whole in rows_of(batches, batch_bytes):
-            cut = [_WORDS.findall(t) if _NOT_SPACE.search(t) else t.split() for t in whole]
-            if len(known) > keep:
-                known.clear()
-            new = list({w for words in cut for w in words if w not in known})
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                known.update(zip(part, (e.ids for e in tok.encode_batch(part, add_special_tokens=False)), strict=True))
-            coded = [np.array([*chain.from_iterable(map(known.__getitem__, words)), *end], kind) for words in cut]
+            coded = [c + end for c in words_of.of([_WORDS.findall(t) if _NOT_SPACE.search(t) else t.split() for t in whole])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
-                    pa.array([len(c) for c in coded], pa.int64()),
-                    pa.array([pack.compress(c.tobytes()) for c in coded], pa.binary()),
+                    pa.array([len(c) // kind.itemsize for c in coded], pa.int64()),
+                    pa.array([pack.compress(c) for c in coded], pa.binary()),
                 ],
                 ["id", "n_tokens", "ids"],
             )
@@ -84,16 +152,15 @@ def id_type(tokenizer_path: str) -> str:
 def train_dictionary(encoded: DataFrame, dict_bytes: int = 64 << 10, samples: int = 2_000, sample_tokens: int = 2_048) -> bytes:
     """A zstandard dictionary from at most ``samples`` serialized id arrays of at most ``sample_tokens`` ids.
 
-    The samples are those with the least hashes of id and content, so reruns agree and the driver holds a bounded
+    The samples are those with the least hashes of their id, so reruns agree and the driver holds a bounded
     number of bytes. Empty where there is too little to train on; frames are then compressed without one.
     """
-    rows = (
-        encoded.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= sample_tokens))
-        .select(F.xxhash64("id", "ids").alias("h"), "ids")
-        .orderBy("h", "ids")
-        .limit(samples)
-        .collect()
-    )
+    fit = encoded.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") <= sample_tokens)).withColumn("h", F.xxhash64("id"))
+    # the hashes first: tasks send numbers, not ids, until the cut is known
+    last = fit.select("h").orderBy("h").limit(samples).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return b""
+    rows = fit.filter(F.col("h") <= last).select("h", "ids").orderBy("h", "ids").limit(samples).collect()
     unpack = zstandard.ZstdDecompressor()
     data = [unpack.decompress(bytes(r["ids"])) for r in rows]
     size = min(dict_bytes, sum(map(len, data)) // 8)
