@@ -1,7 +1,7 @@
-"""Toxicity by cumulative-link ordinal regression on sparse word features.
+"""Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - weights . x): one weight vector serves all ordered thresholds. Features are the
-presence of a word; an L1 penalty keeps few of them. The model predicts P(grade >= k) for each k, and the expected
+presence of a word or of a word's beginning, which stands for its inflections; an L1 penalty keeps few of them. The model predicts P(grade >= k) for each k, and the expected
 severity is their sum.
 """
 
@@ -23,9 +23,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    """``words`` to weight, and the ascending thresholds between the grades 0, 1, ..., len(thresholds)."""
+    """Features (see ``_features``) to weight, and the ascending thresholds between the grades 0, 1, ..., len(thresholds)."""
 
-    words: dict[str, float]
+    weights: dict[str, float]
     thresholds: tuple[float, ...]
 
     def at_least(self, activations: np.ndarray) -> np.ndarray:
@@ -37,19 +37,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+#: Lengths of the beginnings that are features.
+_STEMS = (4, 5, 6, 7)
+
+
+def _features(words: set[str]) -> set[str]:
+    """Each word, and the beginnings of longer ones with a hyphen."""
+    return words | {f"{w[:k]}-" for w in words for k in _STEMS if len(w) > k}
+
+
+class _Scorer:
+    """Sums the weights of a text's features; only words that begin like a feature are looked into."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.whole = weights, {f for f in weights if not f.endswith("-")}
+        self.least = min(_STEMS)
+        self.starts = {f[: self.least] for f in weights if f.endswith("-")}
+
+    def __call__(self, text: str) -> float:
+        words = set(_WORD.findall(text.lower()))
+        k = self.least
+        found = (words & self.whole) | (self.weights.keys() & _features({w for w in words if w[:k] in self.starts}))
+        return sum(self.weights[f] for f in sorted(found))
 
 
 def fit_ordinal(
-    rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int], grades: np.ndarray, penalty: float, rounds: int = 300
+    rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int], grades: np.ndarray, penalty: float, rounds: int = 400
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient on the mean log loss plus ``penalty`` times the L1 norm.
 
+    Grade 0 and the others together weigh the same, however rare the others are.
+
     ``rows`` and ``cols`` are the ones of the binary feature matrix of ``shape``; grades go from 0 to the largest."""
     n, d = shape
     top = int(grades.max())
-    share = np.array([(grades <= k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
+    worth = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
+    share = np.array([worth[grades <= k].sum() for k in range(top)]).clip(1e-4, 1 - 1e-4)
     w, th = np.zeros(d), np.log(share / (1 - share))
     sizes = np.bincount(rows, minlength=n)
     step = 4.0 / (np.percentile(sizes, 99) + 1 if n else 1)
@@ -61,13 +84,13 @@ def fit_ordinal(
         upto = np.column_stack([np.zeros(n), _sigmoid(th[None, :] - a[:, None]), np.ones(n)])
         at = np.arange(n)
         p = (upto[at, grades + 1] - upto[at, grades]).clip(1e-12)
-        value = -np.log(p).mean() + penalty * np.abs(w).sum()
+        value = -(worth * np.log(p)).sum() + penalty * np.abs(w).sum()
         if not grad:
             return value, None, None
         slope = upto * (1 - upto)
-        hi, lo = slope[at, grades + 1] / p, slope[at, grades] / p
-        ga = (hi - lo) / n
-        gth = np.array([-(hi[grades == k].sum() - lo[grades == k + 1].sum()) / n for k in range(top)])
+        hi, lo = worth * slope[at, grades + 1] / p, worth * slope[at, grades] / p
+        ga = hi - lo
+        gth = np.array([lo[grades == k + 1].sum() - hi[grades == k].sum() for k in range(top)])
         return value, np.bincount(cols, weights=ga[rows], minlength=d), gth
 
     for _ in range(rounds):
@@ -103,18 +126,18 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = 20_000,
-    max_features: int = 4_000,
+    max_features: int = 3_000,
     min_docs: int = 5,
-    penalty: float = 0.03,
-    severe_words: int = 5,
+    penalty: float = 0.01,
+    severe_words: int = 12,
 ) -> Model | None:
     """A model from labelled documents; None where no or all labels are positive.
 
     Labels are 0 (grade 0) or positive. A positive label of 1 says nothing of severity, so it becomes grade 2 where
-    the text has at least ``severe_words`` occurrences of the words most typical of positive documents, and else 1;
+    the text has at least ``severe_words`` of the features most typical of positive documents, and else 1;
     larger labels keep their grade. Null ids and labels take no part; an id with several labels has the largest.
-    At most ``max_labelled`` documents are used, those with the least hash of their id; ``max_features`` words are
-    screened by the z-score of their document frequencies among words in ``min_docs`` documents at least.
+    At most ``max_labelled`` documents are used, those with the least hash of their id; ``max_features`` features
+    are screened by the z-score of their document frequencies among those in ``min_docs`` documents at least.
     The L1 penalty is ``penalty`` over the root of the number of documents.
     The driver holds those documents' screened features, nothing that grows with the corpus.
     """
@@ -133,34 +156,34 @@ def fit(
         for batch in batches:
             ids, ys, whole = (c.to_pylist() for c in batch.columns)
             for k in range(0, len(ids), 500):
-                bag = [_WORD.findall(t.lower()) for t in whole[k : k + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500]), pa.array(ys[k : k + 500], pa.int32()), pa.array(bag, pa.list_(pa.string()))], ["id", "y", "words"])
+                bag = [sorted(_features(set(_WORD.findall(t.lower())))) for t in whole[k : k + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500]), pa.array(ys[k : k + 500], pa.int32()), pa.array(bag, pa.list_(pa.string()))], ["id", "y", "features"])
 
     # repeated ids would weigh twice: one row of each takes part
     known = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", "text").dropDuplicates(["id"])
-    bag = scratch.write(known.mapInArrow(bags, "id long, y int, words array<string>"))
+    bag = scratch.write(known.mapInArrow(bags, "id long, y int, features array<string>"))
     n_of = {r["pos"]: r["n"] for r in bag.groupBy((F.col("y") > 0).alias("pos")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n_of.get(True, 0), n_of.get(False, 0)
     if not n1 or not n0:
         return None
-    seen = bag.select((F.col("y") > 0).cast("int").alias("pos"), F.explode(F.array_distinct("words")).alias("word")).groupBy("word")
+    seen = bag.select((F.col("y") > 0).cast("int").alias("pos"), F.explode("features").alias("feature")).groupBy("feature")
     seen = seen.agg(F.sum("pos").alias("a"), F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_docs)
     p = F.col("df") / (n0 + n1)
     z = (F.col("a") / n1 - (F.col("df") - F.col("a")) / n0) / F.sqrt(p * (1 - p) * (1.0 / n0 + 1.0 / n1) + 1e-9)
-    kept = seen.withColumn("z", z).orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
-    place = {r["word"]: k for k, r in enumerate(kept)}
-    typical = {r["word"] for r in kept if r["z"] > 4 and r["a"] / n1 > 20 * (r["df"] - r["a"] + 0.5) / n0}
+    kept = seen.withColumn("z", z).orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()
+    place = {r["feature"]: k for k, r in enumerate(kept)}
+    typical = {r["feature"] for r in kept if r["z"] > 4 and r["a"] / n1 > 20 * (r["df"] - r["a"] + 0.5) / n0}
     if not place:
         return None
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, words = (c.to_pylist() for c in batch.columns)
-            at = [sorted({place[w] for w in ws if w in place}) for ws in words]
-            hits = [sum(w in typical for w in ws) for ws in words]
+            ys, bags_ = (c.to_pylist() for c in batch.columns)
+            at = [sorted(place[f] for f in fs if f in place) for fs in bags_]
+            hits = [sum(f in typical for f in fs) for fs in bags_]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(hits, pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["y", "hits", "at"])
 
-    found = bag.select("y", "words").mapInArrow(vectors, "y int, hits int, at array<int>").toArrow()
+    found = bag.select("y", "features").mapInArrow(vectors, "y int, hits int, at array<int>").toArrow()
     ys, hits = found["y"].to_numpy(), found["hits"].to_numpy()
     at = found["at"].combine_chunks()
     at = at if isinstance(at, pa.ListArray) else pa.concat_arrays(at.chunks)
@@ -171,24 +194,24 @@ def fit(
     _, grades = np.unique(grades, return_inverse=True)
     scratch.drop()
     w, th = fit_ordinal(rows, cols, (len(ys), len(place)), grades, penalty / np.sqrt(len(ys)))
-    return Model({r["word"]: float(x) for r, x in zip(kept, w, strict=True) if x}, tuple(float(x) for x in th))
+    return Model({r["feature"]: float(x) for r, x in zip(kept, w, strict=True) if x}, tuple(float(x) for x in th))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per input row: the id, ``severity`` (expected grade), ``grade`` (the largest k that the document
     exceeds with a probability of a half or more) and ``toxic`` (grade >= 1).
 
-    The whole text counts. Null and empty texts get the severity of a text without known words; a null id stays
+    The whole text counts. Null and empty texts get the severity of a text without known features; a null id stays
     null; repeated rows each give a row; without a model (see ``fit``) every severity is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model.weights) if model else None
         for ids, whole in rows_of(batches, batch_bytes):
             if model is None:
                 p = np.zeros((len(ids), 1))
             else:
-                known = model.words.keys()
-                p = model.at_least(np.array([sum(model.words[w] for w in sorted(known & _words(t))) for t in whole], float))
+                p = model.at_least(np.array([scorer(t) for t in whole], float))
             grade = (p >= 0.5).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p.sum(1)), pa.array(grade), pa.array(grade >= 1)], [id_col, "severity", "grade", "toxic"])
 
@@ -202,7 +225,7 @@ def rejected(model: Model | None):
     def toxic(text):
         if model is None:
             return text.isna() & False
-        cut, weights, known = model.thresholds[0], model.words, model.words.keys()
-        return text.fillna("").map(lambda t: sum(weights[w] for w in sorted(known & _words(t))) >= cut).astype(bool)
+        scorer = _Scorer(model.weights)
+        return text.fillna("").map(lambda t: scorer(t) >= model.thresholds[0]).astype(bool)
 
     return toxic
