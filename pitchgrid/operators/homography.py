@@ -39,10 +39,12 @@ def fit(matched: DataFrame, keys: Sequence[str] = ("match_id", "frame")) -> Data
     """``h`` array<double> of each frame from matched key points (x, y, px, py); NULL where it can't be solved."""
 
     @F.pandas_udf("array<double>")
-    def h(x: pd.Series, y: pd.Series, px: pd.Series, py: pd.Series) -> list:
-        return solve(x.to_numpy(), y.to_numpy(), px.to_numpy(), py.to_numpy())
+    def h(points: pd.Series) -> pd.Series:
+        return points.map(lambda p: solve(*(np.array([q[c] for q in p], float) for c in ("x", "y", "px", "py"))))
 
-    return matched.groupBy(*keys).agg(h("x", "y", "px", "py").alias("h"))
+    # a frame has a few dozen key points; whole batches of frames go to Python, not a frame at a time
+    gathered = matched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "px", "py"))).alias("_p"))
+    return gathered.select(*keys, h("_p").alias("h"))
 
 
 def apply(points: DataFrame, homographies: DataFrame, keys: Sequence[str] = ("match_id", "frame"), x: str = "ax", y: str = "ay") -> DataFrame:

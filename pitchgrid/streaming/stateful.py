@@ -1,7 +1,8 @@
 """Online chain filter and tracker, keyed by object or match, and windowed counts of late data.
 
 Rows of a key must arrive in frame order from batch to batch; within a batch they are sorted. State is one point, or
-the live tracks, so it doesn't grow with the stream; a key that is silent for ``timeout`` loses its state.
+the live tracks, so it doesn't grow with the stream; with ``timeout_ms``, a key that is
+silent for so long loses its state.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from pitchgrid.operators.detections import TrackConfig
 from pitchgrid.operators.tracker import Tracker, run_frames
 
 
+def _timeout(ms: int | None) -> str:
+    """Processing-time timeouts keep batches coming even without data, so they are only on when asked for."""
+    return GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 def chain_step(last: tuple[float, float] | None, x: float | None, y: float | None, radius: float) -> bool:
     """Whether a point is kept after the last one kept."""
     if x is None or y is None or x != x or y != y or (x == 0 and y == 0):
@@ -26,7 +32,7 @@ def chain_step(last: tuple[float, float] | None, x: float | None, y: float | Non
     return last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 <= radius * radius
 
 
-def chain_filter(stream: DataFrame, radius: float, key: str = "object_id", timeout: str = "1 hour") -> DataFrame:
+def chain_filter(stream: DataFrame, radius: float, key: str = "object_id", timeout_ms: int | None = None) -> DataFrame:
     """Kept rows of ``stream`` (key, frame, x, y)."""
     kind = {f.name: f.dataType for f in stream.schema.fields}
     schema = T.StructType([T.StructField(c, kind[c]) for c in (key, "frame", "x", "y")])
@@ -44,13 +50,14 @@ def chain_filter(stream: DataFrame, radius: float, key: str = "object_id", timeo
             keep.append(ok)
         if last is not None:
             state.update(last)
-        state.setTimeoutDuration(timeout)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pdf[keep][[key, "frame", "x", "y"]]
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "x double, y double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "x double, y double", "append", _timeout(timeout_ms))
 
 
-def track(stream: DataFrame, config: TrackConfig = TrackConfig(), key: str = "match_id", timeout: str = "1 hour") -> DataFrame:
+def track(stream: DataFrame, config: TrackConfig = TrackConfig(), key: str = "match_id", timeout_ms: int | None = None) -> DataFrame:
     """Detections of a stream with ``tracker_id``; see operators.tracker."""
     names = stream.columns
     schema = T.StructType([*stream.schema.fields, T.StructField("tracker_id", T.LongType())])
@@ -62,10 +69,11 @@ def track(stream: DataFrame, config: TrackConfig = TrackConfig(), key: str = "ma
         tracker = Tracker.load(config, json.loads(state.get[0])) if state.exists else Tracker(config)
         out = run_frames(tracker, pd.concat(list(parts)))
         state.update((json.dumps(tracker.dump()),))
-        state.setTimeoutDuration(timeout)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield out[[*names, "tracker_id"]]
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "tracker string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "tracker string", "append", _timeout(timeout_ms))
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes", size: str = "1 hour", key: str = "event_type") -> DataFrame:
