@@ -74,3 +74,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS first_doc FROM g GROUP BY s),
+c AS (SELECT g.doc_id, g.i FROM g JOIN m USING (s) WHERE m.first_doc < g.doc_id),
+k AS (SELECT *, sum(new_run) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new_run FROM c)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last_b FROM r GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS z FROM r
+      UNION ALL SELECT d.doc_id, coalesce(t.last_b, 0), d.n FROM d LEFT JOIN t USING (doc_id)),
+x AS (SELECT e.doc_id, string_agg(substr(d.h, 2 * f + 1, 2 * (z - f)), '' ORDER BY f) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0) AS n_spans, sha256(unhex(x.kept)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) JOIN x USING (doc_id)
+"""
+
+_REACH = """
+link AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)
+"""
+
+ORACLES["op7_itq_near_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+pair AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN comp ON id = vec_id
+"""
+
+ORACLES["op8_ngram_join"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+pair AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 75 * (p.n + q.n - i)),
+{_REACH}
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, documents.doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON id = documents.doc_id
+"""
