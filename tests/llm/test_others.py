@@ -115,7 +115,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 def test_page_text():
     assert html_text.parse(PAGE)[0] == "Head & more First part second Third <3 &am"
     assert html_text.parse("")[0] == "" and html_text.parse("plain < text & more")[0] == "plain < text & more"
-    assert html_text.parse("<div>a<b>b</b>c</div><p>d<p>e</div>f<script>x")[0] == "abc d e f"
+    assert html_text.parse("<div>a<b>b</b>c</div><p>d<p>e</div>f<script>x")[0] == "abc d ef"
     assert html_text.parse('<main><p title="a>b">x</p></main><p>out</p>')[0] == "x"
 
 
