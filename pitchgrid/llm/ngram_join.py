@@ -57,6 +57,10 @@ def _unpack(blob: bytes, size: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _histogram(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount(hashes & (_BINS - 1), minlength=_BINS).astype(np.int32)
+
+
 def prefix_length(n: Column, percent: int) -> Column:
     """So many of a set's n rarest shingles that a partner at the threshold shares one of them."""
     return n - F.ceil(n * percent / 100).cast("int") + 1
@@ -78,8 +82,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, chunk_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
-    """Written tables: per input row (id, n, rep); per class that can link (rep, n, alone, shared): ``alone`` shingles
-    are its own only, ``shared`` are the others' hashes, rarest first."""
+    """Written tables: per input row (id, n, rep); per class that can link (rep, n, alone, hist, shared): ``alone``
+    shingles are its own only, ``shared`` are the others' hashes, rarest first, ``hist`` counts these by hash."""
     spark, tasks = docs.sparkSession, partitions(docs.sparkSession)
     bits = min(20, log2_ceil(8 * tasks))
 
@@ -163,12 +167,12 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
             for s in range(0, len(able), 500):
                 x = able[s : s + 500]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rep[i] for i in x], pa.int64()), pa.array(n[x], pa.int32()), pa.array(alone[x], pa.int32()), pa.array([h[lo[i] : hi[i]] for i in x], pa.list_(pa.int64()))],
-                    ["rep", "n", "alone", "shared"],
+                    [pa.array([rep[i] for i in x], pa.int64()), pa.array(n[x], pa.int32()), pa.array(alone[x], pa.int32()), *(pa.array([f(h[lo[i] : hi[i]]) for i in x], pa.list_(kind)) for f, kind in ((_histogram, pa.int32()), (np.asarray, pa.int64())))],
+                    ["rep", "n", "alone", "hist", "shared"],
                 )
 
     both = carriers.unionByName(answers).repartition(tasks, "chunk").sortWithinPartitions("chunk")
-    sets = scratch.write(both.select("chunk", "k", "rep", "n", "size", "blob").mapInArrow(gather, "rep long, n int, alone int, shared array<long>"))
+    sets = scratch.write(both.select("chunk", "k", "rep", "n", "size", "blob").mapInArrow(gather, "rep long, n int, alone int, hist array<int>, shared array<long>"))
     return rows.select("id", "n", "rep"), sets
 
 
@@ -209,10 +213,9 @@ def near_duplicates(
 
 def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int) -> DataFrame:
     """Links (a, b) between classes that connect all that are at the threshold, if not each of their pairs."""
-    bins = F.transform(F.sequence(F.lit(0), F.lit(_BINS - 1)), lambda b: F.size(F.filter("shared", lambda x: x.bitwiseAND(F.lit(_BINS - 1)) == b)))
     prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), percent) - F.col("alone")))
-    entries = sets.select("rep", "n", "alone", bins.alias("hist"), F.posexplode(prefix).alias("place", "key"))
-    entries = entries.select("key", "rep", F.struct("n", (F.col("alone") + F.col("place") + 1).alias("pos"), "hist").alias("e"))
+    entries = sets.select("rep", "n", "alone", "hist", F.posexplode(prefix).alias("place", "key"))
+    entries = scratch.write(entries.select("key", "rep", F.struct("n", (F.col("alone") + F.col("place") + 1).alias("pos"), "hist").alias("e")))
     spark = sets.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
