@@ -6,8 +6,8 @@
 2. Documents with equal sets are one class. Each class has a prefix: as many of its rarest shingles as any partner at
    the threshold must share one of. Classes join on prefix shingles; length, position and the hash histogram of the
    shared shingles bound the overlap; each pair that is left is verified once, on whole sets.
-3. Large groups aren't expanded into pairs: pairs with one leader per prefix shingle come first, and only pairs that
-   the links found so far don't connect are looked at afterwards, all of them.
+3. Large groups aren't expanded into pairs: pairs with one leader per prefix shingle come first. Pairs that the links
+   found so far don't connect are looked at afterwards, all of them, in blocks of classes; a task gives a forest.
 """
 
 from __future__ import annotations
@@ -190,7 +190,8 @@ def near_duplicates(
     words: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-    star_rounds: int = 2,
+    star_rounds: int = 1,
+    block_rows: int = 1_024,
 ) -> DataFrame:
     """One row per input row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links, itself
     included. Two documents link where 100 * intersection >= ``percent`` * union of their sets of distinct
@@ -199,11 +200,12 @@ def near_duplicates(
     A text with fewer words has one shingle, its whole sequence; null and empty texts have none and link with
     nothing. Rows with a null id get the component of equal documents, else null. Repeated rows of an id are one
     node. An empty table gives an empty result. Shingles are compared by 64-bit hashes. No limit on partners,
-    candidates or document frequency: what the star rounds leave unconnected is joined in full.
+    candidates or document frequency: what the star rounds leave unconnected is compared in full, in blocks of
+    ``block_rows`` classes inside tasks.
     """
     scratch = Scratch(docs.sparkSession)
     rows, sets = shingle_classes(docs, scratch, id_col, text_col, words, percent)
-    links = linked(sets, scratch, percent, star_rounds)
+    links = linked(sets, scratch, percent, star_rounds, block_rows)
     found = components(links, scratch)
     return (
         rows.join(found.withColumnRenamed("id", "rep"), "rep", "left")
@@ -211,7 +213,7 @@ def near_duplicates(
     )
 
 
-def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int) -> DataFrame:
+def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int, block_rows: int = 1_024) -> DataFrame:
     """Links (a, b) between classes that connect all that are at the threshold, if not each of their pairs."""
     prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), percent) - F.col("alone")))
     entries = sets.select("rep", "n", "alone", "hist", F.posexplode(prefix).alias("place", "key"))
@@ -219,26 +221,105 @@ def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int) ->
     spark = sets.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
-    label = None
-    for k in range(star_rounds + 1):
-        now = entries.withColumn("c", F.col("rep")) if label is None else entries.join(label, entries["rep"] == label["id"], "left").withColumn("c", F.coalesce("component", "rep")).drop("id", "component")
-        # only shingles whose classes aren't all connected yet
-        open_ = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "e", "c")).alias("leader"))
-        open_ = open_.filter("c0 <> c1").drop("c0", "c1")
-        if k < star_rounds:
-            met = now.join(open_, "key").filter("c <> leader.c").withColumns({"o": F.col("leader.e"), "r": F.col("leader.rep")})
-        else:
-            other = now.select("key", F.col("rep").alias("r"), F.col("e").alias("o"), F.col("c").alias("oc"))
-            left = now.join(open_.select("key"), "key", "left_semi")
-            met = left.join(other, "key").filter("c <> oc and rep < r")
+    now, label = entries.withColumn("c", F.col("rep")), None
+    for k in range(star_rounds):
+        open_ = _open_keys(now, F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "e", "c")))
+        met = now.join(open_, "key").filter("c <> hub.c").withColumns({"o": F.col("hub.e"), "r": F.col("hub.rep")})
         pairs = met.filter(_may_link("e", "o", percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if k else pairs)
-        if pairs.isEmpty():
-            if k < star_rounds:
+        links, tested = scratch.write(links.union(_verified(pairs, sets, percent))), tested.union(pairs)
+        label = components(links, scratch)
+        now = entries.join(label, entries["rep"] == label["id"], "left").withColumn("c", F.coalesce("component", "rep")).drop("id", "component")
+    # classes that share shingles of which not all classes are connected yet, in clusters that hold all their partners
+    open_ = scratch.write(now.join(_open_keys(now, F.min("rep")), "key").select("rep", "c", "hub"))
+    clusters = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
+    large = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
+    large = scratch.write(large.select("component", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    members = open_.select("rep", "c").distinct().join(clusters, F.col("rep") == F.col("id")).drop("id").join(large, "component", "left")
+    members = members.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.join(sets.withColumn("prefix", F.size(prefix)).select("rep", "n", "prefix", "hist", "shared"), "rep")
+    members = members.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "n", "prefix", "hist", "shared")
+    dealt = members.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            if group.num_rows > 1:
+                yield from _block_links(group, percent)
+
+    return scratch.write(links.union(dealt.mapInArrow(verify, "a long, b long")))
+
+
+def _open_keys(entries: DataFrame, hub: Column) -> DataFrame:
+    """(key, hub) of the shingles whose classes aren't all connected."""
+    keys = entries.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), hub.alias("hub"))
+    return keys.filter("c0 <> c1").select("key", "hub")
+
+
+def _block_links(group: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links in a block, or between two: pairs stay inside the task.
+
+    Candidates share a prefix shingle, aren't connected yet and pass the length and suffix filters. A class takes them
+    by falling number of shared prefix shingles, and leaves out those that it has meanwhile been connected with."""
+    i, j = (group.column(k)[0].as_py() for k in (1, 2))
+    own, rep, c, n, m = (group.column(k).to_numpy().astype(np.int64) for k in range(3, 8))
+    hist = group.column(8).flatten().to_numpy().reshape(len(rep), -1).astype(np.int64)
+    ends = np.cumsum([0, *group.column(9).value_lengths().to_pylist()])
+    flat = group.column(9).flatten().to_numpy()
+    sets = [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    rows, cols = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(rep)),) * 2
+    if not len(rows) or not len(cols):
+        return
+    # prefix shingles that occur on both sides, numbered; then shared counts by products of slices of the 0-1 matrix
+    take = lambda side: (np.repeat(np.arange(len(side)), m[side]), np.concatenate([flat[ends[k] : ends[k] + m[k]] for k in side]))
+    (ra, ka), (rb, kb) = take(rows), take(cols)
+    names = np.intersect1d(ka, kb)
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, len(names), 4_096):
+        part = names[lo : lo + 4_096]
+        side = []
+        for r, k, size in ((ra, ka, len(rows)), (rb, kb, len(cols))):
+            at = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            ok = part[at] == k
+            x = np.zeros((size, len(part)), np.float32)
+            x[r[ok], at[ok]] = 1
+            side.append(x)
+        shared += side[0] @ side[1].T
+    tree = {x: x for x in np.unique(c).tolist()}
+
+    def root(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = tree[tree[x]]
+            x = tree[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for x, a in enumerate(rows.tolist()):
+        ok = (shared[x] > 0) & (c[cols] != c[a])
+        if i == j:
+            ok[: x + 1] = False
+        nb = n[cols]
+        need = -((-(n[a] + nb) * percent) // (100 + percent))
+        ok &= (np.minimum(n[a], nb) * 100 >= np.maximum(n[a], nb) * percent) & (np.minimum(hist[a], hist[cols]).sum(1) >= need)
+        at = np.flatnonzero(ok)
+        at = at[np.argsort(-shared[x, at], kind="stable")]
+        step = 1
+        while len(at):
+            mine = root(int(c[a]))
+            at = at[[root(y) != mine for y in c[cols[at]].tolist()]]
+            now, at = at[:step], at[step:]
+            step = min(256, 4 * step)
+            if not len(now):
                 continue
-            break
-        links = scratch.write(links.union(_verified(pairs, sets, percent)))
-        tested = tested.union(pairs)
-        if k < star_rounds:
-            label = components(links, scratch)
-    return links
+            others = [sets[k] for k in cols[now].tolist()]
+            sizes = np.array([len(o) for o in others])
+            both = np.concatenate(others)
+            hit = sets[a][np.minimum(np.searchsorted(sets[a], both), len(sets[a]) - 1)] == both
+            for b, w in zip(cols[now].tolist(), np.add.reduceat(hit, np.cumsum(sizes) - sizes).tolist(), strict=True):
+                if 100 * w >= percent * (n[a] + n[b] - w):
+                    found.append((a, b))
+                    u, v = root(int(c[a])), root(int(c[b]))
+                    tree[max(u, v)] = min(u, v)
+    if found:
+        a, b = np.array(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[a], rep[b])), pa.array(np.minimum(rep[a], rep[b]))], ["a", "b"])

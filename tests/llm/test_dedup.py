@@ -60,12 +60,12 @@ def sets_of(texts):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_ngram_join(docs, rounds):
+@pytest.mark.parametrize(("rounds", "block"), [(0, 7), (1, 1024), (2, 20)])
+def test_ngram_join(docs, rounds, block):
     sets = sets_of({k * 3: t for k, t in enumerate(corpus())})
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = roots(sets, links)
-    got = ngram_join.near_duplicates(docs, star_rounds=rounds).collect()
+    got = ngram_join.near_duplicates(docs, star_rounds=rounds, block_rows=block).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is not None:
