@@ -103,7 +103,7 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
                 none = pa.nulls(m, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(m, chunk % (1 << bits), np.int32)), pa.array(np.full(m, chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(ids[lo : lo + m], pa.int64()),
+                        pa.array(((chunk >> 8) + (chunk >> 32) * 31 + np.arange(m)) % (1 << bits), pa.int32()), pa.array(np.full(m, chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(ids[lo : lo + m], pa.int64()),
                         pa.array(n.astype(np.int32)), pa.array(f1), pa.array(f2), pa.array(np.zeros(m, np.int32)), none,
                     ],
                     _SENT_NAMES,
