@@ -69,7 +69,7 @@ def plan(
     most: float = 3.0,
     whole: bool = False,
     max_sources: int = 100_000,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 1_000,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: the id, ``size`` (words), ``source_size``, ``target`` (of its source), ``taken`` (words
