@@ -119,8 +119,8 @@ def remove_repeats(
     gram: int = 25,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 4 << 20,
-    shard_memory: int = 128 << 20,
+    chunk_bytes: int = 3 << 20,
+    shard_memory: int = 64 << 20,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``
@@ -135,7 +135,7 @@ def remove_repeats(
     spark = docs.sparkSession
     scratch, tasks = Scratch(spark), partitions(spark)
     bits = min(20, log2_ceil(4 * tasks))
-    shards = 2 * tasks
+    shards = 8 * tasks
     keep_bits = np.uint64(64 - _KEY_BITS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,18 +216,20 @@ def sorted_suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20) -> Iter
     n = len(text)
     if not n:
         return
+    kind = np.int32 if n < 1 << 31 else np.int64
     step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
     # the next place where the byte changes decides; at the end, a suffix is larger than its successor
-    nxt = np.where(step != 0, np.arange(n - 1), n - 1)
+    nxt = np.where(step != 0, np.arange(n - 1, dtype=kind), kind(n - 1))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     small = np.zeros(n, bool)
-    small[: n - 1] = np.concatenate([step, [-1]])[nxt] > 0
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    small[: n - 1] = np.concatenate([step, np.array([-1], step.dtype)])[nxt] > 0
+    del nxt, step
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     seeds, seed_lcp = _order_seeds(text, seeds, cap)
     starts = np.searchsorted(text[seeds], np.arange(257))
     queue, larger = DiskQueues(256, memory), DiskQueues(256, memory)
     up = _Induction(text, ~small, queue, cap)
-    queue.push(int(text[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))
+    queue.push(int(text[n - 1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
     up.fresh[text[n - 1]] = False
     for c in range(256):
         last = None
