@@ -8,15 +8,17 @@ tag, role, class or id, and what is left becomes text.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch
+from pitchgrid.llm.common import Scratch, partitions
 
 _TAG = re.compile(
     r"""<!--(?s:.*?)(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)"""
@@ -66,14 +68,35 @@ class _Open:
         self.tag, self.names, self.skip, self.main, self.candidate, self.parts, self.raw = tag, names, skip, main, candidate, parts, raw
 
 
+#: Of main text: start, end and hash of each subtree that holds any.
+Spans = list[tuple[int, int, int]]
+
+
 def parse(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, set[int]]:
     """The main text, without the subtrees whose hashes are in ``templates``; the hashes of the page's subtrees."""
+    text, spans, hashes = scan(html)
+    return without(text, spans, templates), hashes
+
+
+def without(text: str, spans: Spans, templates: frozenset[int] | set[int]) -> str:
+    """The text that ``scan`` returned, less the spans whose hashes are in ``templates``, with single spaces."""
+    kept, at = [], 0
+    for start, end, _ in sorted((s for s in spans if s[2] in templates), key=lambda s: (s[0], -s[1])):
+        if start >= at:
+            kept += [text[at:start], " "]
+            at = end
+    return " ".join("".join([*kept, text[at:]]).split())
+
+
+def scan(html: str) -> tuple[str, Spans, set[int]]:
+    """The main text as it stands, the spans of subtrees in it, and the hashes of all of the page's subtrees."""
     low = html.lower()
     has_main = re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", low) is not None
     stack = [_Open("", "", False, not has_main, False, 0, 0)]
     parts: list[str] = []  # of the main text
     raw: list[str] = []  # of the whole page, for hashes
     hashes: set[int] = set()
+    found: Spans = []  # by parts
     at = 0
 
     def text(s: str) -> None:
@@ -94,9 +117,8 @@ def parse(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tupl
             if body:
                 h = int.from_bytes(hashlib.blake2b(f"{e.tag}\x1e{e.names}\x1e{body}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                 hashes.add(h)
-                if h in templates:
-                    del parts[e.parts :]
-                    parts.append(" ")
+                if any(not s.isspace() for s in parts[e.parts :]):
+                    found.append((e.parts, len(parts), h))
         raw.append(f"/{e.tag}")
 
     def close_to(tags: set[str] | frozenset[str], barrier: frozenset[str]) -> None:
@@ -150,7 +172,8 @@ def parse(html: str, templates: frozenset[int] | set[int] = frozenset()) -> tupl
     text(html[at:])
     while len(stack) > 1:
         close()
-    return " ".join("".join(parts).split()), hashes
+    starts = [0, *accumulate(map(len, parts))]
+    return "".join(parts), [(starts[a], starts[b], h) for a, b, h in found], hashes
 
 
 def host_of(url_col: str):
@@ -158,21 +181,50 @@ def host_of(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+#: Pages and characters of html after which a chunk is full.
+_CHUNK = 200, 4_000_000
+_CHUNK_COLUMNS = "chunk long, ids array<long>, urls array<string>, texts array<string>, spans array<array<long>>, at_host array<int>, hosts array<string>, asked array<array<long>>, pages array<struct<host: string, page: binary, subtrees: array<long>>>"
+
+
+def _digest(s: str) -> bytes:
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _chunk(rows: list[tuple]) -> dict:
+    """Pages (id, url, host, html) as one row: main texts with their spans, what each host's subtrees in them are, and
+    all subtrees of each distinct page."""
+    ids, urls, of, htmls = zip(*rows, strict=True)
+    hosts = {h: k for k, h in enumerate(dict.fromkeys(of))}
+    asked: list[set[int]] = [set() for _ in hosts]
+    texts, spans, pages = [], [], {}
+    for host, html in zip(of, htmls, strict=True):
+        text, found, hashes = scan(html)
+        texts.append(text)
+        spans.append([x for s in found for x in s])
+        asked[hosts[host]].update(s[2] for s in found)
+        pages[host, _digest(html)] = hashes
+    return {
+        "chunk": int.from_bytes(os.urandom(8), "little", signed=True), "ids": ids, "urls": urls, "texts": texts, "spans": spans,
+        "at_host": [hosts[h] for h in of], "hosts": list(hosts), "asked": [list(a) for a in asked],
+        "pages": [{"host": h, "page": p, "subtrees": list(x)} for (h, p), x in pages.items()],
+    }
+
+
 def extract(
     pages: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
     min_pages: int = 5,
-    min_share: float = 0.1,
 ) -> DataFrame:
     """One row per input row: the id, the URL, ``text`` (main text, empty if none) and ``n_chars``.
 
-    A subtree is template where it stands in ``min_pages`` pages of its host and in ``min_share`` of them, so a host
-    has at most (subtrees of a page) / ``min_share`` of them, however many pages. Counting pre-aggregates before the
-    shuffle, so a host with a third of all pages is no burden. A page with an article or main part gives the text in
+    A subtree is template where it stands in ``min_pages`` distinct pages of its host, however many pages the host
+    has; pages with the same html are one page. Each page is parsed once; chunks of texts are written bucketed, and
+    the subtrees that they hold, once per chunk and host, are joined to the counts, so no list of a host's templates is
+    made and a host with a third of all pages is no burden. A page with an article or main part gives the text in
     it; within it only containers can be template. Null html is empty; a null URL belongs to the host ''; repeated
-    rows each give a row (and count as pages); an empty table gives none; other columns are left out.
+    rows each give a row; an empty table gives none; other columns are left out.
     """
     scratch = Scratch(pages.sparkSession)
     named = pages.select(
@@ -182,31 +234,44 @@ def extract(
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([
+            ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("urls", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
+            ("spans", pa.list_(pa.list_(pa.int64()))), ("at_host", pa.list_(pa.int32())), ("hosts", pa.list_(pa.string())), ("asked", pa.list_(pa.list_(pa.int64()))),
+            ("pages", pa.list_(pa.struct([("host", pa.string()), ("page", pa.binary()), ("subtrees", pa.list_(pa.int64()))]))),
+        ])
+        rows, held = [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                hosts, htmls = (c.to_pylist() for c in batch.slice(k, 200).columns)
-                found = [[*parse(h)[1]] for h in htmls]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(found, pa.list_(pa.int64()))], ["host", "subtrees"])
-
-    # null in the array stands for the page itself, so that one aggregation counts pages too
-    subtrees = named.select("host", "html").mapInArrow(hashed, "host string, subtrees array<long>")
-    counted = subtrees.select("host", F.explode(F.concat("subtrees", F.array(F.lit(None).cast("long")))).alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    counted = scratch.write(counted.filter((F.col("n") >= min_pages) | F.col("subtree").isNull()))
-    of_host = counted.filter(F.col("subtree").isNull()).select("host", F.col("n").alias("pages"))
-    often = counted.filter(F.col("subtree").isNotNull()).join(of_host, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    # written, so that its size is known and decides whether the join broadcasts it
-    templates = scratch.write(often.groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("templates")))
+            for k in range(0, batch.num_rows, 50):
+                for row in zip(*(c.to_pylist() for c in batch.slice(k, 50).columns), strict=True):
+                    rows.append(row)
+                    held += len(row[3])
+                    if len(rows) >= _CHUNK[0] or held >= _CHUNK[1]:
+                        yield pa.RecordBatch.from_pylist([_chunk(rows)], schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist([_chunk(rows)], schema)
+
+    chunks = scratch.write_bucketed(named.mapInArrow(chunked, _CHUNK_COLUMNS), partitions(pages.sparkSession), "chunk")
+    distinct = chunks.select(F.explode("pages").alias("p")).groupBy("p.host", "p.page").agg(F.first("p.subtrees").alias("subtrees"))
+    counted = distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    templates = scratch.write(counted.filter(F.col("n") >= min_pages).select("host", "subtree"))
+    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("hosts", "asked")).alias("h", "of"))
+    asked = asked.select("chunk", "h", F.col("of.hosts").alias("host"), F.explode("of.asked").alias("subtree"))
+    hits = asked.join(templates, ["host", "subtree"], "left_semi").groupBy("chunk").agg(F.collect_list(F.struct("h", "subtree")).alias("hits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                ids, urls, htmls, known = (c.to_pylist() for c in batch.slice(k, 200).columns)
-                out = [parse(h, set(t or ()))[0] for h, t in zip(htmls, known, strict=True)]
+            for k in range(batch.num_rows):
+                ids, urls, texts, spans, at_host, hits = (c[0].as_py() for c in batch.slice(k, 1).columns)
+                known: dict[int, set[int]] = {}
+                for hit in hits or ():
+                    known.setdefault(hit["h"], set()).add(hit["subtree"])
+                out = [without(t, [*zip(s[::3], s[1::3], s[2::3], strict=True)], known.get(h, frozenset())) for t, s, h in zip(texts, spans, at_host, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                     [id_col, url_col, "text", "n_chars"],
                 )
 
-    joined = named.join(templates, "host", "left").select("id", "url", "html", "templates")
-    return joined.mapInArrow(cut, f"{id_col} long, {url_col} string, text string, n_chars long")
+    joined = chunks.select("chunk", "ids", "urls", "texts", "spans", "at_host").join(hits, "chunk", "left")
+    return joined.select("ids", "urls", "texts", "spans", "at_host", "hits").mapInArrow(cut, f"{id_col} long, {url_col} string, text string, n_chars long")

@@ -129,6 +129,16 @@ def test_site_templates(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_site_templates_by_an_absolute_count(spark):
+    page = lambda k: f"<article><p>Story {k}</p><div>Advert {k % 12}</div><section>Copied {k % 50}</section></article>"
+    rows = [(k, "http://big.example.com/", page(k)) for k in range(96)]  # each advert on 8 pages, a twelfth
+    rows += [(1000 + k, f"http://copies.example.com/{k}", "<article><div>One page, copied</div></article>") for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages.repartition(3)).collect()}
+    assert len(got) == len(rows) and got[95] == "Story 95 Copied 45" and got[0] == "Story 0 Copied 0"
+    assert {got[1000 + k] for k in range(8)} == {"One page, copied"}
+
+
 def test_queries_return_their_columns(spark):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     want = {"op2_mix_sources": ["doc_id", "size", "source_size", "target", "taken"], "op9_html_text": ["page_id", "url", "text", "n_chars"], "op3_hilbert_search": ["query_id", "rank", "vec_id", "score"]}
