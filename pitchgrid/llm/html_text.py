@@ -45,27 +45,43 @@ _NAMES = frozenset(
     "overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs masthead footer comment comments respond replies discussion disqus share sharing social "
     "related recommended newsletter subscribe subscription widget pagination pager login signup skip".split()
 )
+#: First words of names of parts that hold articles other than the page's own.
+_OTHERS = frozenset("comment comments respond replies discussion disqus related recommended".split())
+#: Names like no-sidebar and comments-open tell of a page's state.
+_BEFORE, _AFTER = frozenset("no not has with without".split()), frozenset("open closed enabled disabled".split())
 _TOP = frozenset("html body main article".split())
 #: Inside an article, only such containers can be template: a paragraph that recurs there is still the article's.
 _CONTAINERS = frozenset("div section ul ol dl table details figure center".split())
 
 
-def _marked(attributes: str) -> tuple[bool, str, bool]:
-    """Whether role, class or id mark boilerplate; class and id; whether they mark the main part."""
+def _level(names: str) -> int:
+    """How far class and id mark boilerplate: 0 not, 1 by a later word of a name, 2 by its first word, 3 as others' articles."""
+    if _NAMES.isdisjoint(re.split(r"[\s_\-]+", names)):
+        return 0
+    level = 0
+    for name in names.split():
+        words = [w for w in re.split(r"[_\-]+", name) if w]
+        if words and words[0] not in _BEFORE and words[-1] not in _AFTER and not _NAMES.isdisjoint(words):
+            level = max(level, 3 if words[0] in _OTHERS else 2 if words[0] in _NAMES else 1)
+    return level
+
+
+def _marked(attributes: str) -> tuple[bool, int, str, bool]:
+    """Whether role or aria-hidden mark boilerplate; how far class and id do; class and id; whether the main part is marked."""
     if not attributes or "=" not in attributes:
-        return False, "", False
+        return False, 0, "", False
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     role = found.get("role", "").lower()
-    bad = role in _ROLES or "hidden" == found.get("aria-hidden") or not _NAMES.isdisjoint(re.split(r"[\s_\-]+", names))
-    return bad, names.strip(), role == "main"
+    return role in _ROLES or "hidden" == found.get("aria-hidden"), _level(names), names.strip(), role == "main"
 
 
 class _Open:
-    __slots__ = ("tag", "names", "skip", "main", "candidate", "parts", "raw")
+    __slots__ = ("tag", "names", "skip", "level", "main", "article", "candidate", "parts", "raw")
 
-    def __init__(self, tag, names, skip, main, candidate, parts, raw):
-        self.tag, self.names, self.skip, self.main, self.candidate, self.parts, self.raw = tag, names, skip, main, candidate, parts, raw
+    def __init__(self, tag, names, skip, level, main, article, candidate, parts, raw):
+        self.tag, self.names, self.skip, self.level, self.main, self.article = tag, names, skip, level, main, article
+        self.candidate, self.parts, self.raw = candidate, parts, raw
 
 
 #: Of main text: start, end and hash of each subtree that holds any.
@@ -89,10 +105,33 @@ def without(text: str, spans: Spans, templates: frozenset[int] | set[int]) -> st
 
 
 def scan(html: str) -> tuple[str, Spans, set[int]]:
-    """The main text as it stands, the spans of subtrees in it, and the hashes of all of the page's subtrees."""
+    """The main text as it stands, the spans of subtrees in it, and the hashes of all of the page's subtrees.
+
+    Names never cost a page its article: where no article gives text, those that names dropped are taken back, first
+    all but others' articles, and these too where nothing else on the page is text. Without any, the main part is the
+    text, and where that is empty or there is none, the whole body."""
     low = html.lower()
-    has_main = re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", low) is not None
-    stack = [_Open("", "", False, not has_main, False, 0, 0)]
+    best = None
+    if re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", low):
+        best, has_text, from_article, lost = _scan(html, low, 2)
+        if lost and not from_article:
+            more, _, from_article, _ = _scan(html, low, 3)
+            if from_article:
+                return more
+        if has_text:
+            return best
+    body, has_text, _, _ = _scan(html, low, 0)
+    if best and lost and not has_text:
+        return _scan(html, low, 4)[0]
+    return body
+
+
+def _scan(html: str, low: str, least: int) -> tuple[tuple[str, Spans, set[int]], bool, bool, bool]:
+    """What ``scan`` returns, of articles and main parts that names mark less than ``least``, or of the body for 0;
+    whether it has text; whether any is from an article; whether names alone dropped an article or main part."""
+    has_main = least > 0
+    stack = [_Open("", "", False, 0, not has_main, False, False, 0, 0)]
+    has_text = from_article = lost = False
     parts: list[str] = []  # of the main text
     raw: list[str] = []  # of the whole page, for hashes
     hashes: set[int] = set()
@@ -100,13 +139,19 @@ def scan(html: str) -> tuple[str, Spans, set[int]]:
     at = 0
 
     def text(s: str) -> None:
+        nonlocal has_text, from_article
+        solid = False
         if s and not s.isspace():
             s = unescape(s)
             raw.append(" ".join(s.split()))
+            solid = not s.isspace()
         elif s:
             s = " "
-        if s and stack[-1].main and not stack[-1].skip:
+        top = stack[-1]
+        if s and top.main and not top.skip and not top.level:
             parts.append(s)
+            has_text |= solid
+            from_article |= solid and top.article
 
     def close() -> None:
         e = stack.pop()
@@ -157,23 +202,27 @@ def scan(html: str) -> tuple[str, Spans, set[int]]:
                 close_to({"p"}, frozenset({"td", "th", "button", "object", "template"}))
             if tag in _CLOSES:
                 close_to(_CLOSES[tag], frozenset({"ul", "ol", "dl", "table", "select", "menu"}))
-            bad, names, role_main = _marked(m[3])
+            bad, level, names, role_main = _marked(m[3])
             up = stack[-1]
-            main = up.main or tag in ("article", "main") or role_main
-            skip = up.skip or bad and tag not in _TOP or tag in _BOILERPLATE or tag == "header" and not (up.main and has_main)
+            holds = tag in ("article", "main") or role_main
+            main = up.main or holds
+            skip = up.skip or bad and (tag not in _TOP or tag == "article") or tag in _BOILERPLATE or tag == "header" and not (up.main and has_main)
+            level = max(up.level, level if tag == "article" or tag not in _TOP and not role_main else 0)
+            if holds and has_main and not up.article:
+                # a later word of an article's own name is no mark: category-notices
+                lost |= level >= least and not skip
+                level = level if level >= least else 0
             inside = has_main and up.main
             candidate = tag in _BLOCK and tag not in _TOP and (not inside or tag in _CONTAINERS)
             raw.append(tag)
-            stack.append(_Open(tag, names, skip, main, candidate, len(parts), len(raw)))
-            if bad and tag == "article":
-                stack[-1].skip = True
+            stack.append(_Open(tag, names, skip, level, main, up.article or tag == "article", candidate, len(parts), len(raw)))
             if m[3].endswith("/") and tag in ("svg", "path", "rect", "circle", "use"):
                 close()
     text(html[at:])
     while len(stack) > 1:
         close()
     starts = [0, *accumulate(map(len, parts))]
-    return "".join(parts), [(starts[a], starts[b], h) for a, b, h in found], hashes
+    return ("".join(parts), [(starts[a], starts[b], h) for a, b, h in found], hashes), has_text, from_article, lost
 
 
 def host_of(url_col: str):

@@ -119,6 +119,27 @@ def test_page_text():
     assert html_text.parse('<main><p title="a>b">x</p></main><p>out</p>')[0] == "x"
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<!-- <article> --><script>'<main>'</script><div>The post</div>", "The post"),
+        ('<div>The post</div><article class="comment">I disagree</article>', "The post"),
+        ('<div>The post</div><div id="comments"><article>I disagree</article></div>', "The post"),
+        ("<main><nav>menu</nav></main><div>The post</div>", "The post"),
+        ('<article class="post comments-open category-notices">The post</article><p>out</p>', "The post"),
+        ('<div class="content no-sidebar"><article>The post</article></div><p>out</p>', "The post"),
+        ('<div class="widget"><article>The post</article></div><p>out</p>', "The post"),
+        ('<div class="page-banner"><main><div class="sidebar"><article>The post</article></div></main></div><p>out</p>', "The post"),
+        ('<main><article>The post</article><div id="comments" class="comments-area"><article class="comment-body">I disagree</article></div></main>', "The post"),
+        ('<article>The post<div class="post-comments"><article>I disagree</article></div></article>', "The post"),
+        ('<div class="related"><article class="comment">All there is</article></div>', "All there is"),
+        ("<nav><article>menu</article></nav>", ""),
+    ],
+)
+def test_the_article_is_kept(html, want):
+    assert html_text.parse(html)[0] == want
+
+
 def test_site_templates(spark):
     body = lambda k, t: f"<html><body><div><p>Welcome to the site</p></div>{'<article>' if t else ''}<p>Story {k} itself</p><div><span>Shared box</span></div><p>Common line</p>{'</article>' if t else ''}</body></html>"
     rows = [(k, f"https://One.example.com:80/{k}", body(k, k % 2), "x") for k in range(40)] + [(100, "http://two.example.com/", body(100, 0), "x"), (101, None, None, "x"), (None, "nonsense", "", "x")]
