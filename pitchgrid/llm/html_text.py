@@ -27,7 +27,8 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 # Elements by their part in the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
+#: Their content isn't parsed; how it ends. Positions in html.lower() would be others: U+0130 becomes two characters there.
+_RAW = {t: re.compile(f"</{t}", re.I | re.A) for t in "script style textarea title noscript iframe xmp noframes".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -110,23 +111,22 @@ def scan(html: str) -> tuple[str, Spans, set[int]]:
     Names never cost a page its article: where no article gives text, those that names dropped are taken back, first
     all but others' articles, and these too where nothing else on the page is text. Without any, the main part is the
     text, and where that is empty or there is none, the whole body."""
-    low = html.lower()
     best = None
-    if re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", low):
-        best, has_text, from_article, lost = _scan(html, low, 2)
+    if re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", html, re.I | re.A):
+        best, has_text, from_article, lost = _scan(html, 2)
         if lost and not from_article:
-            more, _, from_article, _ = _scan(html, low, 3)
+            more, _, from_article, _ = _scan(html, 3)
             if from_article:
                 return more
         if has_text:
             return best
-    body, has_text, _, _ = _scan(html, low, 0)
+    body, has_text, _, _ = _scan(html, 0)
     if best and lost and not has_text:
-        return _scan(html, low, 4)[0]
+        return _scan(html, 4)[0]
     return body
 
 
-def _scan(html: str, low: str, least: int) -> tuple[tuple[str, Spans, set[int]], bool, bool, bool]:
+def _scan(html: str, least: int) -> tuple[tuple[str, Spans, set[int]], bool, bool, bool]:
     """What ``scan`` returns, of articles and main parts that names mark less than ``least``, or of the body for 0;
     whether it has text; whether any is from an article; whether names alone dropped an article or main part."""
     has_main = least > 0
@@ -190,9 +190,9 @@ def _scan(html: str, low: str, least: int) -> tuple[tuple[str, Spans, set[int]],
         elif m[2]:
             tag = m[2].lower()
             if tag in _RAW:
-                end = low.find(f"</{tag}", at)
+                end = _RAW[tag].search(html, at)
                 raw.append(tag)
-                at = len(html) if end < 0 else end
+                at = end.start() if end else len(html)
                 continue
             if tag in _BLOCK:
                 parts.append(" ")

@@ -140,6 +140,11 @@ def test_the_article_is_kept(html, want):
     assert html_text.parse(html)[0] == want
 
 
+def test_raw_elements_end_where_they_do():
+    dots = "\u0130" * 30
+    assert html_text.parse(f"<div>{dots}<script>x</SCRIPT><b>bold</b> tail</div>")[0] == f"{dots}bold tail"
+
+
 def test_site_templates(spark):
     body = lambda k, t: f"<html><body><div><p>Welcome to the site</p></div>{'<article>' if t else ''}<p>Story {k} itself</p><div><span>Shared box</span></div><p>Common line</p>{'</article>' if t else ''}</body></html>"
     rows = [(k, f"https://One.example.com:80/{k}", body(k, k % 2), "x") for k in range(40)] + [(100, "http://two.example.com/", body(100, 0), "x"), (101, None, None, "x"), (None, "nonsense", "", "x")]
