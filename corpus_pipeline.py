@@ -54,12 +54,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to weights 1, 2, 3, repeating, over a curriculum: documents that the mix doesn't take go,
     those that it takes more than once are repeated, and all are range-sorted by training position."""
     shapes = (mixing.FADING, mixing.CONSTANT, mixing.RISING)
-    scratch = Scratch(spark)
-    planned = mixing.plan(docs, lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3], whole=True)
-    copies = planned.groupBy("doc_id").agg(F.first("copies").alias("copies")).select(F.col("doc_id").alias("_id"), F.explode("copies").alias("_c"))
-    copies = scratch.write(copies.select("_id", F.col("_c.copy").alias("_copy"), F.col("_c.position").alias("_position")))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.orderBy("_position", "_id", "_copy").select(docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    planned = mixing.plan(docs, lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3], whole=True, carry=others)
+    taken = planned.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *others, F.explode("copies").alias("_c"))
+    # written, as range-sorting reads its input twice
+    taken = Scratch(spark).write(taken.select(*docs.columns, F.col("_c.position").alias("_position"), F.col("_c.copy").alias("_copy")))
+    return taken.orderBy("_position", "doc_id", "_copy").select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

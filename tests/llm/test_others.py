@@ -165,6 +165,20 @@ def test_site_templates_by_an_absolute_count(spark):
     assert {got[1000 + k] for k in range(8)} == {"One page, copied"}
 
 
+def test_mix_takes_rows_without_an_id_one_by_one(spark):
+    rows = [(None, " ".join([f"w{k}"] * (k % 7)), "en", ["a", "b"][k % 2], k) for k in range(60)] + [(k, f"x{k} y z", "en", "c", 7) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, docs.repartition(3), SF)
+    assert out.columns == docs.columns
+    planned = mixing.plan(docs, lambda k, s: 1.0 + k % 3, lambda k, s: (mixing.FADING, mixing.CONSTANT, mixing.RISING)[k % 3], whole=True, carry=["text"])
+    want = {r["text"]: len(r["copies"]) for r in planned.filter("size > 0 and doc_id is null").collect()}
+    # the words w0 to w59 tell the rows apart
+    got = {}
+    for r in out.filter("doc_id is null").collect():
+        got[r["text"]] = got.get(r["text"], 0) + 1
+    assert got == {t: n for t, n in want.items() if n} and len(got) > 10 and "" not in got
+
+
 def test_queries_return_their_columns(spark):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     want = {"op2_mix_sources": ["doc_id", "size", "source_size", "target", "taken"], "op9_html_text": ["page_id", "url", "text", "n_chars"], "op3_hilbert_search": ["query_id", "rank", "vec_id", "score"]}
