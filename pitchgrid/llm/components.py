@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch, partitions
+from pitchgrid.llm.common import Scratch, lean, partitions
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> Da
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     state = None
     for _ in range(most_rounds):
-        edges = scratch.write(edges.repartition(n, "a").mapInArrow(_merge, "a long, b long"))
+        before = edges
+        edges = scratch.write(before.repartition(n, "a").mapInArrow(lean(_merge), "a long, b long"))
+        scratch.release(before)
         now = _state(edges)
         if now == state or not now[0]:
             break
@@ -84,7 +86,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> Da
         up = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
         jumped = edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved"))
         jumped = scratch.write(jumped)
+        scratch.release(edges)
         edges = jumped.select("a", "b")
+        edges._scratch = jumped._scratch
         if jumped.filter("moved").isEmpty():
             break
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pitchgrid.llm import vocabularies
-from pitchgrid.llm.common import rows_of, texts
+from pitchgrid.llm.common import lean, rows_of, texts
 
 #: A text with one of these has a space that isn't a safe boundary.
 _UNSAFE = re.compile(r"\s | \s|\A | \Z")
@@ -88,4 +88,4 @@ def count_tokens(
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")

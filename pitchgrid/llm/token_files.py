@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.llm import vocabularies
-from pitchgrid.llm.common import Scratch, partitions, rows_of, texts
+from pitchgrid.llm.common import Scratch, lean, partitions, rows_of, texts
 
 _BLOCKS = "shard int, block int, dict_sha256 string, width int, first long, tokens long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 #: What Python splits at and the tokenizer doesn't take for white space.
@@ -142,7 +142,7 @@ def encode_ids(
                 ["id", "n_tokens", "ids"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids binary")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "id long, n_tokens long, ids binary")
 
 
 def id_type(tokenizer_path: str) -> str:
@@ -204,7 +204,7 @@ def write_files(encoded: DataFrame, path: str, width: int, dictionary: bytes, bl
 
     n = n_shards or partitions(spark)
     placed = encoded.select("id", "n_tokens", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(n, "id", "tie")
-    blocks = placed.sortWithinPartitions("id", "tie", "ids").select("id", "n_tokens", "ids").mapInArrow(run, _BLOCKS)
+    blocks = placed.sortWithinPartitions("id", "tie", "ids").select("id", "n_tokens", "ids").mapInArrow(lean(run), _BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").write.parquet(f"{path}/dictionaries")
 
@@ -257,7 +257,7 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
             yield _rows(out, id_col, with_ids)
 
     schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.join(F.broadcast(before), "shard").mapInArrow(run, schema)
+    return blocks.join(F.broadcast(before), "shard").mapInArrow(lean(run), schema)
 
 
 def _rows(out: list[tuple], id_col: str, with_ids: bool) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch, rows_of, texts
+from pitchgrid.llm.common import Scratch, lean, rows_of, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -161,7 +161,7 @@ def fit(
 
     # repeated ids would weigh twice: one row of each takes part
     known = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", "text").dropDuplicates(["id"])
-    bag = scratch.write(known.mapInArrow(bags, "id long, y int, features array<string>"))
+    bag = scratch.write(known.mapInArrow(lean(bags), "id long, y int, features array<string>"))
     n_of = {r["pos"]: r["n"] for r in bag.groupBy((F.col("y") > 0).alias("pos")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n_of.get(True, 0), n_of.get(False, 0)
     if not n1 or not n0:
@@ -183,7 +183,7 @@ def fit(
             hits = [sum(f in typical for f in fs) for fs in bags_]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(hits, pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["y", "hits", "at"])
 
-    found = bag.select("y", "features").mapInArrow(vectors, "y int, hits int, at array<int>").toArrow()
+    found = bag.select("y", "features").mapInArrow(lean(vectors), "y int, hits int, at array<int>").toArrow()
     ys, hits = found["y"].to_numpy(), found["hits"].to_numpy()
     at = found["at"].combine_chunks()
     at = at if isinstance(at, pa.ListArray) else pa.concat_arrays(at.chunks)
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             grade = (p >= 0.5).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p.sum(1)), pa.array(grade), pa.array(grade >= 1)], [id_col, "severity", "grade", "toxic"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, severity double, grade int, toxic boolean")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), f"{id_col} long, severity double, grade int, toxic boolean")
 
 
 def rejected(model: Model | None):
