@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pitchgrid.llm import bpe, token_counts, token_files, vocabularies
@@ -36,14 +37,33 @@ def test_counts(docs):
     assert token_counts.count_tokens(docs.limit(0), path).count() == 0
 
 
-def test_byte_bpe_round_trip(docs):
+def test_byte_bpe_round_trip(spark, docs):
     path = vocabularies.public_path("byte_bpe_multi_50k.tiktoken")
     library = vocabularies.byte_encoder(path, P.PATTERN)
     want = sorted((str(i), library.encode_ordinary(t), t.encode()) for i, t in texts_of(docs))
-    got = bpe.decode(bpe.encode(docs, path, P.PATTERN, chunk_bytes=6000, remembered=5), path).collect()
+    tokens = bpe.token_table(spark, path)
+    got = bpe.decode(bpe.encode(docs, path, P.PATTERN, chunk_bytes=6000), tokens).collect()
     assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in got) == want
     assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
-    assert bpe.decode(bpe.encode(docs.limit(0), path, P.PATTERN), path).count() == 0
+    assert bpe.decode(bpe.encode(docs.limit(0), path, P.PATTERN), tokens).count() == 0
+    odd = spark.createDataFrame([(None, "x"), (bytes(), "x"), (b"\x05\0\0\0", "x")], "ids binary, decoded string")
+    by_id = {r["id"]: bytes(r["bytes"]) for r in tokens.filter("id = 5").collect()}
+    assert [r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(odd.coalesce(1), tokens).collect()] == [None, bytearray(), by_id[5]]
+    with pytest.raises(ValueError, match="too many"):
+        bpe.decode(odd, tokens, max_tokens=10)
+
+
+def test_a_chunk_asks_for_each_word_once(spark):
+    path, ranks = vocabularies.public_path("byte_bpe_multi_50k.tiktoken"), vocabularies.ranks(vocabularies.public_path("byte_bpe_multi_50k.tiktoken"))
+    chunk = bpe._Chunk(regex.compile(P.PATTERN).findall)
+    for k in range(3):
+        chunk.add([2 * k, 2 * k + 1], ["zqx1wv zqx2wv and the", "zqx1wv" * (k + 1)])
+    asks = chunk.row(0, ranks, 4)[5]
+    words = [w for a in asks for w in bpe.unpack_words(a["words"])]
+    assert len(words) == len(set(words)) and not set(words) & set(ranks)
+    assert all(zlib.crc32(w) % 4 == a["p"] for a in asks for w in bpe.unpack_words(a["words"])) and len({a["p"] for a in asks}) == len(asks)
+    docs = spark.createDataFrame([(k, " ".join(f"zqx{j}wv" for j in range(k, k + 40))) for k in range(60)], "doc_id long, text string").repartition(6)
+    assert bpe.encode(docs, path, P.PATTERN, chunk_bytes=100).filter("n_tokens >= 40").count() == 60
 
 
 def test_number_and_word_packing():
