@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch, partitions
+from pitchgrid.llm.common import Scratch, lean, partitions
 
 _TAG = re.compile(
-    r"""<!--(?s:.*?)(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)"""
+    r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)"""
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # Elements by their part in the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't parsed; how it ends. Positions in html.lower() would be others: U+0130 becomes two characters there.
-_RAW = {t: re.compile(f"</{t}", re.I | re.A) for t in "script style textarea title noscript iframe xmp noframes".split()}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in "script style textarea title noscript iframe xmp noframes".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -48,6 +48,8 @@ _NAMES = frozenset(
 )
 #: First words of names of parts that hold articles other than the page's own.
 _OTHERS = frozenset("comment comments respond replies discussion disqus related recommended".split())
+#: Names of the part that holds the page's own text; other words beside them don't mark it.
+_OWN = frozenset("content main article post entry story".split())
 #: Names like no-sidebar and comments-open tell of a page's state.
 _BEFORE, _AFTER = frozenset("no not has with without".split()), frozenset("open closed enabled disabled".split())
 _TOP = frozenset("html body main article".split())
@@ -64,7 +66,7 @@ def _level(names: str) -> int:
         words = [w for w in re.split(r"[_\-]+", name) if w]
         if words and words[0] not in _BEFORE and words[-1] not in _AFTER and not _NAMES.isdisjoint(words):
             level = max(level, 3 if words[0] in _OTHERS else 2 if words[0] in _NAMES else 1)
-    return level
+    return level if level == 3 or _OWN.isdisjoint(names.split()) else 0
 
 
 def _marked(attributes: str) -> tuple[bool, int, str, bool]:
@@ -77,12 +79,15 @@ def _marked(attributes: str) -> tuple[bool, int, str, bool]:
     return role in _ROLES or "hidden" == found.get("aria-hidden"), _level(names), names.strip(), role == "main"
 
 
-class _Open:
-    __slots__ = ("tag", "names", "skip", "level", "main", "article", "candidate", "parts", "raw")
+class _Node:
+    """An element: its tag, what its attributes say, and pieces of its content (texts and digests) for its own digest."""
 
-    def __init__(self, tag, names, skip, level, main, article, candidate, parts, raw):
-        self.tag, self.names, self.skip, self.level, self.main, self.article = tag, names, skip, level, main, article
-        self.candidate, self.parts, self.raw = candidate, parts, raw
+    __slots__ = ("tag", "bad", "level", "names", "role_main", "inner", "digest")
+
+    def __init__(self, tag: str, bad: bool, level: int, names: str, role_main: bool):
+        self.tag, self.bad, self.level, self.names, self.role_main = tag, bad, level, names, role_main
+        self.inner: list[bytes] = []
+        self.digest = b""
 
 
 #: Of main text: start, end and hash of each subtree that holds any.
@@ -105,124 +110,159 @@ def without(text: str, spans: Spans, templates: frozenset[int] | set[int]) -> st
     return " ".join("".join([*kept, text[at:]]).split())
 
 
-def scan(html: str) -> tuple[str, Spans, set[int]]:
-    """The main text as it stands, the spans of subtrees in it, and the hashes of all of the page's subtrees.
+def _tree(html: str) -> tuple[list, list[_Node]]:
+    """The page as events in its order: a text, 0 for a break, n for the start and -n for the end of the n-th element.
 
-    Names never cost a page its article: where no article gives text, those that names dropped are taken back, first
-    all but others' articles, and these too where nothing else on the page is text. Without any, the main part is the
-    text, and where that is empty or there is none, the whole body."""
-    best = None
-    if re.search(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main", html, re.I | re.A):
-        best, has_text, from_article, lost = _scan(html, 2)
-        if lost and not from_article:
-            more, _, from_article, _ = _scan(html, 3)
-            if from_article:
-                return more
-        if has_text:
-            return best
-    body, has_text, _, _ = _scan(html, 0)
-    if best and lost and not has_text:
-        return _scan(html, 4)[0]
-    return body
-
-
-def _scan(html: str, least: int) -> tuple[tuple[str, Spans, set[int]], bool, bool, bool]:
-    """What ``scan`` returns, of articles and main parts that names mark less than ``least``, or of the body for 0;
-    whether it has text; whether any is from an article; whether names alone dropped an article or main part."""
-    has_main = least > 0
-    stack = [_Open("", "", False, 0, not has_main, False, False, 0, 0)]
-    has_text = from_article = lost = False
-    parts: list[str] = []  # of the main text
-    raw: list[str] = []  # of the whole page, for hashes
-    hashes: set[int] = set()
-    found: Spans = []  # by parts
-    at = 0
+    One pass; its work doesn't grow with the depth, as the places of open elements are kept by tag."""
+    nodes = [_Node("", False, 0, "", False)]
+    events: list = []
+    stack = [0]
+    places: dict[str, list[int]] = {}  # by tag, places in the stack
+    blocks: list[int] = []  # of block elements other than br
 
     def text(s: str) -> None:
-        nonlocal has_text, from_article
-        solid = False
         if s and not s.isspace():
             s = unescape(s)
-            raw.append(" ".join(s.split()))
-            solid = not s.isspace()
+            nodes[stack[-1]].inner.append(b"=" + " ".join(s.split()).encode("utf-8", "surrogatepass"))
+            events.append(s)
         elif s:
-            s = " "
-        top = stack[-1]
-        if s and top.main and not top.skip and not top.level:
-            parts.append(s)
-            has_text |= solid
-            from_article |= solid and top.article
+            events.append(" ")
 
     def close() -> None:
-        e = stack.pop()
+        k = stack.pop()
+        e = nodes[k]
+        places[e.tag].pop()
         if e.tag in _BLOCK:
-            parts.append(" ")
-        if e.candidate:
-            body = "\x1f".join(raw[e.raw :])
-            if body:
-                h = int.from_bytes(hashlib.blake2b(f"{e.tag}\x1e{e.names}\x1e{body}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                hashes.add(h)
-                if any(not s.isspace() for s in parts[e.parts :]):
-                    found.append((e.parts, len(parts), h))
-        raw.append(f"/{e.tag}")
-
-    def close_to(tags: set[str] | frozenset[str], barrier: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                while len(stack) > k:
-                    close()
-                return
-            if stack[k].tag in barrier:
-                return
-
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
+            blocks.pop()
+        h = hashlib.blake2b(f"{e.tag}\x1e{e.names}".encode("utf-8", "surrogatepass"), digest_size=8)
+        for piece in e.inner:
+            h.update(b"\x1f" + piece)
+        e.digest = h.digest()
+        nodes[stack[-1]].inner.append(b"<" + e.digest)
+        e.inner = e.inner[:1]  # whether there is any
+        events.append(-k)
+
+    def close_to(tags, barrier) -> None:
+        at = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if at and at > max((places[t][-1] for t in barrier if places.get(t)), default=0):
+            while len(stack) > at:
+                close()
+
+    at = 0
+    while m := _TAG.search(html, at):
         text(html[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            if tag == "br" or tag == "p" and not any(e.tag == "p" for e in stack):
-                parts.append(" ")
-            elif any(e.tag == tag for e in stack):
+            if places.get(tag):
                 # an inline end tag doesn't reach out of the block it stands in
-                close_to({tag}, frozenset() if tag in _BLOCK else _BLOCK - {"br"})
+                if tag in _BLOCK or not blocks or places[tag][-1] > blocks[-1]:
+                    close_to((tag,), ())
+            elif tag in ("br", "p"):
+                events.append(0)
         elif m[2]:
             tag = m[2].lower()
             if tag in _RAW:
+                nodes[stack[-1]].inner.append(b"<" + tag.encode())
                 end = _RAW[tag].search(html, at)
-                raw.append(tag)
                 at = end.start() if end else len(html)
                 continue
-            if tag in _BLOCK:
-                parts.append(" ")
             if tag in _VOID:
+                if tag in _BLOCK:
+                    events.append(0)
                 continue
-            if tag in _NO_P_INSIDE:
-                close_to({"p"}, frozenset({"td", "th", "button", "object", "template"}))
+            if tag in _NO_P_INSIDE and places.get("p"):
+                close_to(("p",), ("td", "th", "button", "object", "template"))
             if tag in _CLOSES:
-                close_to(_CLOSES[tag], frozenset({"ul", "ol", "dl", "table", "select", "menu"}))
+                close_to(_CLOSES[tag], ("ul", "ol", "dl", "table", "select", "menu"))
             bad, level, names, role_main = _marked(m[3])
-            up = stack[-1]
-            holds = tag in ("article", "main") or role_main
-            main = up.main or holds
-            skip = up.skip or bad and (tag not in _TOP or tag == "article") or tag in _BOILERPLATE or tag == "header" and not (up.main and has_main)
-            level = max(up.level, level if tag == "article" or tag not in _TOP and not role_main else 0)
-            if holds and has_main and not up.article:
-                # a later word of an article's own name is no mark: category-notices
-                lost |= level >= least and not skip
-                level = level if level >= least else 0
-            inside = has_main and up.main
-            candidate = tag in _BLOCK and tag not in _TOP and (not inside or tag in _CONTAINERS)
-            raw.append(tag)
-            stack.append(_Open(tag, names, skip, level, main, up.article or tag == "article", candidate, len(parts), len(raw)))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                blocks.append(len(stack))
+            stack.append(len(nodes))
+            events.append(len(nodes))
+            nodes.append(_Node(tag, bad, level, names, role_main))
             if m[3].endswith("/") and tag in ("svg", "path", "rect", "circle", "use"):
                 close()
     text(html[at:])
     while len(stack) > 1:
         close()
+    return events, nodes
+
+
+def scan(html: str) -> tuple[str, Spans, set[int]]:
+    """The main text as it stands, the spans of subtrees in it, and the hashes of all of the page's subtrees.
+
+    Names never cost a page its text: where no article gives text, those that names dropped are taken back, first
+    all but others' articles, and these too where nothing else on the page is text. Without any, the main part is the
+    text, and where that is empty or there is none, the whole body; where names dropped all of that, it without them."""
+    events, nodes = _tree(html)
+    best = None
+    lost = False
+    if any(e.tag in ("article", "main") or e.role_main for e in nodes):
+        best, has_text, from_article, lost = _select(events, nodes, 2)
+        if lost and not from_article:
+            more, _, from_article, _ = _select(events, nodes, 3)
+            if from_article:
+                return more
+        if has_text:
+            return best
+    body, has_text, _, _ = _select(events, nodes, 0)
+    if lost and not has_text:
+        return _select(events, nodes, 4)[0]
+    return body if has_text else _select(events, nodes, -1)[0]
+
+
+def _select(events: list, nodes: list[_Node], least: int) -> tuple[tuple[str, Spans, set[int]], bool, bool, bool]:
+    """What ``scan`` returns, of articles and main parts that names mark less than ``least``, of the body for 0, or of
+    the body whatever names say but those of others' articles for -1; whether it has text; whether any is from an
+    article; whether names alone dropped an article or main part."""
+    has_main = least > 0
+    # of each open element: skip, level, main, article, template candidate, parts before it, solid texts before it
+    stack = [(False, 0, not has_main, False, False, 0, 0)]
+    solid, from_article, lost = 0, False, False
+    parts: list[str] = []
+    hashes: set[int] = set()
+    found: Spans = []  # by parts
+    for x in events:
+        skip, level, main, article, candidate, n_parts, n_solid = stack[-1]
+        if x.__class__ is str:
+            if main and not skip and not level:
+                parts.append(x)
+                if not x.isspace():
+                    solid += 1
+                    from_article |= article
+            continue
+        if not x:
+            parts.append(" ")
+        elif x > 0:
+            e = nodes[x]
+            tag = e.tag
+            if tag in _BLOCK:
+                parts.append(" ")
+            holds = tag in ("article", "main") or e.role_main
+            skip = skip or e.bad and (tag not in _TOP or tag == "article") or tag in _BOILERPLATE or tag == "header" and not (main and has_main)
+            own = e.level if tag == "article" or tag not in _TOP and not e.role_main else 0
+            level = max(level, own if least >= 0 or own == 3 else 0)
+            if holds and has_main and not article:
+                # a later word of an article's own name is no mark: category-notices
+                lost |= level >= least and not skip
+                level = level if level >= least else 0
+            inside = has_main and main
+            candidate = tag in _BLOCK and tag not in _TOP and (not inside or tag in _CONTAINERS)
+            stack.append((skip, level, main or holds, article or tag == "article", candidate, len(parts), solid))
+        else:
+            e = nodes[-x]
+            stack.pop()
+            if e.tag in _BLOCK:
+                parts.append(" ")
+            if candidate and e.inner:
+                h = int.from_bytes(e.digest, "little", signed=True)
+                hashes.add(h)
+                if solid > n_solid:
+                    found.append((n_parts, len(parts), h))
     starts = [0, *accumulate(map(len, parts))]
-    return ("".join(parts), [(starts[a], starts[b], h) for a, b, h in found], hashes), has_text, from_article, lost
+    return ("".join(parts), [(starts[a], starts[b], h) for a, b, h in found], hashes), solid > 0, from_article, lost
 
 
 def host_of(url_col: str):
@@ -301,7 +341,7 @@ def extract(
         if rows:
             yield pa.RecordBatch.from_pylist([_chunk(rows)], schema)
 
-    chunks = scratch.write_bucketed(named.mapInArrow(chunked, _CHUNK_COLUMNS), partitions(pages.sparkSession), "chunk")
+    chunks = scratch.write_bucketed(named.mapInArrow(lean(chunked), _CHUNK_COLUMNS), partitions(pages.sparkSession), "chunk")
     distinct = chunks.select(F.explode("pages").alias("p")).groupBy("p.host", "p.page").agg(F.first("p.subtrees").alias("subtrees"))
     counted = distinct.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     templates = scratch.write(counted.filter(F.col("n") >= min_pages).select("host", "subtree"))
@@ -323,4 +363,4 @@ def extract(
                 )
 
     joined = chunks.select("chunk", "ids", "urls", "texts", "spans", "at_host").join(hits, "chunk", "left")
-    return joined.select("ids", "urls", "texts", "spans", "at_host", "hits").mapInArrow(cut, f"{id_col} long, {url_col} string, text string, n_chars long")
+    return joined.select("ids", "urls", "texts", "spans", "at_host", "hits").mapInArrow(lean(cut), f"{id_col} long, {url_col} string, text string, n_chars long")
