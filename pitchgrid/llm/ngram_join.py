@@ -6,8 +6,10 @@
 2. Documents with equal sets are one class. Each class has a prefix: as many of its rarest shingles as any partner at
    the threshold must share one of. Classes join on prefix shingles; length, position and the hash histogram of the
    shared shingles bound the overlap; each pair that is left is verified once, on whole sets.
-3. Large groups aren't expanded into pairs: pairs with one leader per prefix shingle come first. Pairs that the links
-   found so far don't connect are looked at afterwards, all of them, in blocks of classes; a task gives a forest.
+3. Each prefix shingle's classes are first paired with one leader of theirs. Of shingles whose classes these links don't
+   all connect, those of few classes then give all their pairs, filtered, each once. Classes that share a shingle of many
+   form clusters; the rest of their pairs are looked at inside tasks, split by bands of lengths that can link and by
+   salt, and a task gives a forest, so no group is expanded into rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch, log2_ceil, partitions, rows_of, texts
+from pitchgrid.llm.common import Scratch, lean, log2_ceil, partitions, rows_of, settled, texts
 from pitchgrid.llm.components import components
 from pitchgrid.llm.shingles import doc_shingles, mix
 from pitchgrid.llm.vectors import groups
@@ -139,11 +141,13 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
                     row = [p, chunks[k], -1, None, 0, 0, 0, b - a, _pack(h[x], doc[x], df[x])]
                     yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, _SENT_KINDS, strict=True)], _SENT_NAMES)
 
-    sent = texts(docs, id_col, text_col).mapInArrow(send, _SENT)
-    counted = scratch.write(sent.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(count, _SENT))
+    # tasks number their rows, and the numbers meet again below
+    sent = settled(texts(docs, id_col, text_col), scratch).mapInArrow(lean(send), _SENT)
+    counted = scratch.write(sent.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(lean(count), _SENT))
     rows = counted.filter(F.col("blob").isNull()).select("chunk", "k", "id", "n", "f1", "f2")
     # the least id of equal sets stands for them; one row of that id carries the set
-    reps = rows.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "chunk", "k")).alias("rep"))
+    # written, so that the join deals both sides anew and a large group of copies can be split
+    reps = scratch.write(rows.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "chunk", "k")).alias("rep")))
     rows = scratch.write(rows.join(reps, ["n", "f1", "f2"], "left").select("chunk", "k", "id", "n", F.col("rep.id").alias("rep"), ((F.col("rep.chunk") == F.col("chunk")) & (F.col("rep.k") == F.col("k"))).alias("carries")))
     carriers = rows.filter("carries").select("chunk", "k", "rep", "n", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("blob"))
     answers = counted.filter(F.col("blob").isNotNull()).select("chunk", "k", F.lit(None).cast("long").alias("rep"), "n", "size", "blob")
@@ -172,7 +176,7 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
                 )
 
     both = carriers.unionByName(answers).repartition(tasks, "chunk").sortWithinPartitions("chunk")
-    sets = scratch.write(both.select("chunk", "k", "rep", "n", "size", "blob").mapInArrow(gather, "rep long, n int, alone int, hist array<int>, shared array<long>"))
+    sets = scratch.write(both.select("chunk", "k", "rep", "n", "size", "blob").mapInArrow(lean(gather), "rep long, n int, alone int, hist array<int>, shared array<long>"))
     return rows.select("id", "n", "rep"), sets
 
 
@@ -191,6 +195,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     star_rounds: int = 1,
+    direct_rows: int = 32,
     block_rows: int = 1_024,
 ) -> DataFrame:
     """One row per input row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links, itself
@@ -199,13 +204,14 @@ def near_duplicates(
 
     A text with fewer words has one shingle, its whole sequence; null and empty texts have none and link with
     nothing. Rows with a null id get the component of equal documents, else null. Repeated rows of an id are one
-    node. An empty table gives an empty result. Shingles are compared by 64-bit hashes. No limit on partners,
-    candidates or document frequency: what the star rounds leave unconnected is compared in full, in blocks of
-    ``block_rows`` classes inside tasks.
+    node. An empty table gives an empty result; other columns are left out; a text of any length is taken whole.
+    Shingles are compared by 64-bit hashes of 64-bit word hashes, sets by 128 bits. No limit on partners, candidates or
+    document frequency: what the star rounds leave unconnected is compared in full, pair by pair for shingles of up to
+    ``direct_rows`` classes, and for the others in blocks of ``block_rows`` classes inside tasks.
     """
     scratch = Scratch(docs.sparkSession)
     rows, sets = shingle_classes(docs, scratch, id_col, text_col, words, percent)
-    links = linked(sets, scratch, percent, star_rounds, block_rows)
+    links = linked(sets, scratch, percent, star_rounds, direct_rows, block_rows)
     found = components(links, scratch)
     return (
         rows.join(found.withColumnRenamed("id", "rep"), "rep", "left")
@@ -213,41 +219,81 @@ def near_duplicates(
     )
 
 
-def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int, block_rows: int = 1_024) -> DataFrame:
+def linked(sets: DataFrame, scratch: Scratch, percent: int, star_rounds: int, direct_rows: int, block_rows: int) -> DataFrame:
     """Links (a, b) between classes that connect all that are at the threshold, if not each of their pairs."""
     prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix_length(F.col("n"), percent) - F.col("alone")))
     entries = sets.select("rep", "n", "alone", "hist", F.posexplode(prefix).alias("place", "key"))
     entries = scratch.write(entries.select("key", "rep", F.struct("n", (F.col("alone") + F.col("place") + 1).alias("pos"), "hist").alias("e")))
     spark = sets.sparkSession
+    tasks = partitions(spark)
     links = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
-    now, label = entries.withColumn("c", F.col("rep")), None
+
+    def labelled() -> DataFrame:
+        label = components(links, scratch)
+        return entries.join(label, entries["rep"] == label["id"], "left").withColumn("c", F.coalesce("component", "rep")).drop("id", "component")
+
+    now = entries.withColumn("c", F.col("rep"))
     for k in range(star_rounds):
         open_ = _open_keys(now, F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "e", "c")))
         met = now.join(open_, "key").filter("c <> hub.c").withColumns({"o": F.col("hub.e"), "r": F.col("hub.rep")})
         pairs = met.filter(_may_link("e", "o", percent)).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if k else pairs)
         links, tested = scratch.write(links.union(_verified(pairs, sets, percent))), tested.union(pairs)
-        label = components(links, scratch)
-        now = entries.join(label, entries["rep"] == label["id"], "left").withColumn("c", F.coalesce("component", "rep")).drop("id", "component")
-    # classes that share shingles of which not all classes are connected yet, in clusters that hold all their partners
-    open_ = scratch.write(now.join(_open_keys(now, F.min("rep")), "key").select("rep", "c", "hub"))
+        now = labelled()
+
+    # shingles of few classes: all pairs that the links don't connect, each verified once
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 1):
+            rep, c, n, pos = (group.column(j).to_numpy().astype(np.int64) for j in range(1, 5))
+            hist = group.column(5).flatten().to_numpy().reshape(len(rep), -1).astype(np.int64)
+            x, y = np.triu_indices(len(rep), 1)
+            ok = c[x] != c[y]
+            x, y = x[ok], y[ok]
+            need = -((-(n[x] + n[y]) * percent) // (100 + percent))
+            ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            ok &= np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+            ok &= np.minimum(hist[x], hist[y]).sum(1) >= need
+            if ok.any():
+                a, b = rep[x[ok]], rep[y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    open_ = scratch.write(_open_keys(now, F.count(F.lit(1))))
+    few = now.join(open_.filter(F.col("hub") <= direct_rows), "key").select("key", "rep", "c", "e.n", "e.pos", "e.hist")
+    pairs = few.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lean(pair), "a long, b long").distinct()
+    pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        links = scratch.write(links.union(_verified(pairs, sets, percent)))
+        now = labelled()
+    # shingles of many classes: clusters of classes that share one hold all pairs that are left
+    many = now.join(open_.filter(F.col("hub") > direct_rows).select("key"), "key")
+    open_ = scratch.write(many.join(_open_keys(many, F.min("rep")), "key").select("rep", "c", "hub"))
+    if open_.isEmpty():
+        return links
     clusters = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
-    large = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
-    large = scratch.write(large.select("component", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
-    members = open_.select("rep", "c").distinct().join(clusters, F.col("rep") == F.col("id")).drop("id").join(large, "component", "left")
-    members = members.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # lengths of neighbouring bands at most can link
+    band = F.floor(F.log(F.col("n").cast("double")) / (np.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n")
+    members = open_.select("rep", "c").distinct().join(clusters, F.col("rep") == F.col("id")).drop("id")
+    members = scratch.write(members.join(sets.select("rep", band.alias("band")), "rep"))
+    blocks = members.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    near = blocks.select("component", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("other"), "blocks")
+    near = scratch.write(near.groupBy("component", "band").agg(F.map_from_entries(F.collect_list(F.struct("other", "blocks"))).alias("near")))
+    members = members.join(near, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.element_at("near", F.col("band"))).cast("int"))
+    # each member goes to the pairs of blocks of its own band and of the bands beside it
+    members = members.select("component", "band", "own", "rep", "c", F.explode("near").alias("other_band", "blocks"))
     members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mine, theirs = F.struct("band", F.col("own").alias("block")), F.struct(F.col("other_band").alias("band"), F.col("other").alias("block"))
+    members = members.select("component", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), mine.alias("at"), "rep", "c")
     members = members.join(sets.withColumn("prefix", F.size(prefix)).select("rep", "n", "prefix", "hist", "shared"), "rep")
-    members = members.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "n", "prefix", "hist", "shared")
-    dealt = members.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
+    members = members.select("component", F.col("i.band").alias("ib"), F.col("i.block").alias("i"), F.col("j.band").alias("jb"), F.col("j.block").alias("j"), (F.col("at") == F.col("i")).alias("first"), "rep", "c", "n", "prefix", "hist", "shared")
+    dealt = members.repartition(tasks, "component", "ib", "i", "jb", "j").sortWithinPartitions("component", "ib", "i", "jb", "j", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
+        for group in groups(batches, 5):
             if group.num_rows > 1:
                 yield from _block_links(group, percent)
 
-    return scratch.write(links.union(dealt.mapInArrow(verify, "a long, b long")))
+    return scratch.write(links.union(dealt.mapInArrow(lean(verify), "a long, b long")))
 
 
 def _open_keys(entries: DataFrame, hub: Column) -> DataFrame:
@@ -261,13 +307,15 @@ def _block_links(group: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch
 
     Candidates share a prefix shingle, aren't connected yet and pass the length and suffix filters. A class takes them
     by falling number of shared prefix shingles, and leaves out those that it has meanwhile been connected with."""
-    i, j = (group.column(k)[0].as_py() for k in (1, 2))
-    own, rep, c, n, m = (group.column(k).to_numpy().astype(np.int64) for k in range(3, 8))
-    hist = group.column(8).flatten().to_numpy().reshape(len(rep), -1).astype(np.int64)
-    ends = np.cumsum([0, *group.column(9).value_lengths().to_pylist()])
-    flat = group.column(9).flatten().to_numpy()
+    ib, i, jb, j = (group.column(k)[0].as_py() for k in range(1, 5))
+    first = group.column(5).to_numpy(zero_copy_only=False).astype(bool)
+    rep, c, n, m = (group.column(k).to_numpy().astype(np.int64) for k in range(6, 10))
+    hist = group.column(10).flatten().to_numpy().reshape(len(rep), -1).astype(np.int64)
+    ends = np.cumsum([0, *group.column(11).value_lengths().to_pylist()])
+    flat = group.column(11).flatten().to_numpy()
     sets = [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    rows, cols = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(rep)),) * 2
+    one = (ib, i) == (jb, j)
+    rows, cols = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(first), np.flatnonzero(~first))
     if not len(rows) or not len(cols):
         return
     # prefix shingles that occur on both sides, numbered; then shared counts by products of slices of the 0-1 matrix
@@ -296,7 +344,7 @@ def _block_links(group: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch
     found: list[tuple[int, int]] = []
     for x, a in enumerate(rows.tolist()):
         ok = (shared[x] > 0) & (c[cols] != c[a])
-        if i == j:
+        if one:
             ok[: x + 1] = False
         nb = n[cols]
         need = -((-(n[a] + nb) * percent) // (100 + percent))

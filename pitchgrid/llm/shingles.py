@@ -1,8 +1,14 @@
-"""Hashed word shingles of many texts at once, in numpy."""
+"""Hashed word shingles of many texts at once.
+
+Each distinct word gets 64 bits of BLAKE2b, and a shingle's hash mixes the numbers of its words; a sum over the bytes of
+a text modulo 2 ** 64 would give some different words one number whatever its multiplier is."""
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
+from collections import defaultdict
 
 import numpy as np
 
@@ -35,17 +41,6 @@ def _bytes_table() -> np.ndarray:
     return t
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each maximal run of bytes other than space and 0x09-0x0D; A-Z count as a-z."""
-    b = np.frombuffer(text, np.uint8)
-    solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.diff(np.concatenate([[False], solid, [False]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(16, int(len(b)).bit_length()))
-    total = np.concatenate([[_U(0)], np.cumsum(_bytes_table()[b] * up[: len(b)], dtype=np.uint64)])
-    return starts, mix((total[ends] - total[starts]) * down[starts], 2)
-
-
 def _segments(texts: list[bytes], most: int = 1 << 20) -> list[list[int]]:
     out, held = [[]], 0
     for k, t in enumerate(texts):
@@ -60,17 +55,26 @@ def _segments(texts: list[bytes], most: int = 1 << 20) -> list[list[int]]:
 def doc_shingles(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(document number, hash) of each distinct shingle of ``words`` words, sorted by both.
 
-    A text with fewer words has one, of its whole sequence; a text without words has none."""
+    Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased: what splitting and lower-casing do to
+    bytes. A text with fewer words has one, of its whole sequence; a text without words has none."""
     raw = [t.encode() for t in texts]
     docs, hashes = [], []
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    known = np.zeros(0, np.uint64)
     for seg in _segments(raw):
         if not seg:
             continue
-        sizes = np.array([len(raw[k]) + 1 for k in seg])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        starts, h = word_hashes(b"\n".join(raw[k] for k in seg))
-        doc = np.searchsorted(first, starts, side="right") - 1
-        n = np.bincount(doc, minlength=len(seg))
+        flat: list[int] = []
+        n = np.zeros(len(seg), np.int64)
+        for j, k in enumerate(seg):
+            split = raw[k].lower().split()
+            n[j] = len(split)
+            flat.extend(map(number.__getitem__, split))
+        new = [hashlib.blake2b(w, digest_size=8).digest() for w in itertools.islice(number, len(known), None)]
+        known = np.concatenate([known, np.frombuffer(b"".join(new), "<u8")])
+        h = known[np.array(flat, np.int64)]
+        doc = np.repeat(np.arange(len(seg)), n)
         with np.errstate(over="ignore"):
             m = len(h) - words + 1
             if m > 0:

@@ -60,12 +60,12 @@ def sets_of(texts):
     return out
 
 
-@pytest.mark.parametrize(("rounds", "block"), [(0, 7), (1, 1024), (2, 20)])
-def test_ngram_join(docs, rounds, block):
+@pytest.mark.parametrize(("rounds", "direct", "block"), [(0, 3, 4), (1, 32, 1024), (2, 2, 20), (0, 1000, 7)])
+def test_ngram_join(docs, rounds, direct, block):
     sets = sets_of({k * 3: t for k, t in enumerate(corpus())})
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = roots(sets, links)
-    got = ngram_join.near_duplicates(docs, star_rounds=rounds, block_rows=block).collect()
+    got = ngram_join.near_duplicates(docs, star_rounds=rounds, direct_rows=direct, block_rows=block).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is not None:
@@ -75,6 +75,34 @@ def test_ngram_join(docs, rounds, block):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_different_words_that_sums_modulo_a_power_of_two_confuse(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, word, "x"), (2, word.translate(str.maketrans("ab", "ba")), "x"), (3, long, "x"), (4, long.replace("w7 ", "w8 ", 1), "x"), (5, long[: len(long) // 2], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got[1] == (1, 1) and got[2] == (1, 2) and got[3] == (59_996, 3) and got[4][1] == 3 and got[5][1] == 5
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """Near copies of one text at similarities on both sides of the threshold, under very common shingles."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    texts = {}
+    for k in range(160):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"own{k}x{rng.random()}"
+        texts[k] = " ".join(words[: rng.choice([60, 60, 50, 40])])
+    sets = sets_of(texts)
+    want = roots(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1024, 9):
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, direct_rows=4, block_rows=block).collect()} == want
+
+
 def test_remove_repeats(docs):
     texts = {k * 3: (t or "").encode() for k, t in enumerate(corpus())}
     first = {}
