@@ -82,7 +82,8 @@ def plan(
     lies before the target or not, and words differ from the target by half a document at most. No document
     is taken more than ``most`` times, rounded up. Null and empty texts have size 0 and are never taken; a null id is kept; an empty
     table gives an empty result. The driver holds one row per source and refuses more than ``max_sources``. A source
-    of any size is summed by hash buckets of about ``rows_per_bucket`` rows, never in one task.
+    of any size is summed by hash buckets of about ``rows_per_bucket`` rows, and these by ranges of buckets, so a task
+    that sums a source has the root of its number of buckets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -111,9 +112,15 @@ def plan(
     bits = log2_ceil(max([1, *(r["n"] for r in found)]) // rows_per_bucket + 1)
     bucket = F.shiftrightunsigned("_hash", 64 - bits).cast("int") if bits else F.lit(0)
     rows = rows.join(F.broadcast(dim), rows["_source"].eqNullSafe(dim["_source"])).drop("_source").withColumn("_bucket", bucket)
-    sums = rows.groupBy("_k", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
-    before = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_k", "_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_before"))
+    # prefix sums in two levels: ranges of buckets within a source, then buckets within a range
+    sums = rows.groupBy("_k", "_bucket").agg(F.sum("_size").alias("_in_bucket")).withColumn("_range", F.shiftright("_bucket", bits // 2))
+    sums = scratch.write(sums)
+    ahead = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy("_k", "_range").agg(F.sum("_in_bucket").alias("_in_range"))
+    ranges = ranges.select("_k", "_range", F.coalesce(F.sum("_in_range").over(ahead), F.lit(0)).alias("_before_range"))
+    before = Window.partitionBy("_k", "_range").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", "_range", "_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_in_range_before"))
+    sums = sums.join(ranges, ["_k", "_range"]).select("_k", "_bucket", (F.col("_before_range") + F.col("_in_range_before")).alias("_before"))
     within = Window.partitionBy("_k", "_bucket").orderBy("_hash", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(sums, ["_k", "_bucket"]).withColumn("_at", F.col("_before") + F.sum("_size").over(within) - F.col("_size"))
 
