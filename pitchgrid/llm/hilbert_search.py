@@ -3,7 +3,8 @@
 Largest inner product becomes nearest neighbour by one more coordinate that gives every candidate the largest norm.
 Each curve projects the vectors with a rotation of its own, shifts the grid and orders them by Hilbert key, which is
 range-partitioned in Spark. A query meets the candidates in a window of keys around its own; the windows of all
-curves are merged and reranked by the exact inner product.
+curves are merged and reranked by the exact inner product. The window is as wide as a measurement asks for: the true
+neighbours of some queries are looked for on the curves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.llm import vectors
-from pitchgrid.llm.common import Scratch, partitions
+from pitchgrid.llm.common import Scratch, lean, partitions
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,7 +80,8 @@ def search(
     vec_col: str = "embedding",
     k: int = 20,
     curves: int = 8,
-    window_share: float = 0.18,
+    recall: float = 0.94,
+    probes: int = 128,
     dims: int = 4,
     bits: int = 12,
     sample_rows: int = 10_000,
@@ -91,12 +93,15 @@ def search(
     rows but the query's own id.
 
     Every usable row is in the index; rows with a null id or an unusable vector (null, zero, or with null or
-    non-finite components) take no part. Fewer candidates than ``k``: all found. Repeated rows of an id count once.
-    An empty table, or no query, gives an empty result. Vectors must have one length. Only the projections are
-    fitted on a sample, of ``sample_rows`` vectors at most.
-    ``window_share`` is the share of each curve that a query looks through. Vectors without structure, as in the
-    test tables, need about two thirds of all rows in the union of the windows for a recall of 0.9; with structured
-    embeddings a far smaller share will do. A task holds ``query_slice`` queries and a slice of candidates.
+    non-finite components) take no part. Fewer candidates than ``k``: all found. Repeated rows of an id count once, by
+    the least of their vectors. Scores are sums along the components of one pair, the same wherever the pair is met,
+    so equal vectors tie and their ids decide. An empty table, or no query, gives an empty result; other columns are
+    left out. Vectors must have one length. Only the projections are fitted on a sample, of ``sample_rows`` vectors at
+    most.
+    The window is the least that holds the share ``recall`` of the true neighbours of ``probes`` queries on the curve
+    where they are nearest; one pass over all rows finds these neighbours. Vectors without structure, as in the test
+    tables, take a window that grows with the table; where neighbours are near, it doesn't. A task holds
+    ``query_slice`` queries and a slice of candidates.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark)
@@ -105,7 +110,7 @@ def search(
         F.col(vec_col).cast("array<double>").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("query"),
     ).filter(vectors.usable("v") & F.col("id").isNotNull())
-    rows = rows.dropDuplicates(["id"])
+    rows = scratch.write(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")))
     found = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("query").alias("q"),
@@ -120,10 +125,6 @@ def search(
         raise ValueError(f"vectors of lengths {found['a']} to {found['b']}")
     n, largest = found["n"], float(np.sqrt(found["m"]))
     model = _Curves(vectors.sample(rows, "v", sample_rows), curves, dims, bits, largest, seed)
-    window = max(min(n, 4 * k), int(np.ceil(window_share * n)))
-    block = max(1, -(-window // 4))
-    blocks = -(-n // block)
-    slices = max(1, -(-int(found["q"] * 1.25 * window / n) // query_slice))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +154,18 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(before)], [*batch.schema.names, "part", "before"])
 
     columns = "curve int, key long, kind int, id long, v array<double>"
-    points = rows.mapInArrow(keyed, columns)
+    points = rows.mapInArrow(lean(keyed), columns)
     placed = points.repartitionByRange(partitions(spark), "curve", "key", "kind", "id").sortWithinPartitions("curve", "key", "kind", "id")
-    placed = scratch.write(placed.mapInArrow(ranked, f"{columns}, part int, before long"))
+    placed = scratch.write(placed.mapInArrow(lean(ranked), f"{columns}, part int, before long"))
     # as many rows as partitions and curves
     counts = placed.groupBy("curve", "part").agg(F.sum("kind").alias("n"))
     earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("curve", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     placed = placed.join(F.broadcast(counts), ["curve", "part"]).withColumn("place", F.col("first") + F.col("before"))
+    window = _window(rows, placed, k, n, recall, probes)
+    block = max(1, -(-window // 4))
+    blocks = -(-n // block)
+    slices = max(1, -(-int(found["q"] * 1.25 * window / n) // query_slice))
     candidates = placed.filter("kind = 1").select(
         "curve", F.floor(F.col("place") / block).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "kind", "place", "id", "v"
     )
@@ -199,25 +204,80 @@ def search(
                 continue
             own, q = np.concatenate(ids), np.concatenate(asked)
             x, x_id = vectors.matrix(part.column(6)), part.column(5).to_numpy()
-            score = q @ x.T
-            score[own[:, None] == x_id[None, :]] = -np.inf
+            score = exact_best(q, x, own, x_id, k, largest)
             all_id = np.broadcast_to(x_id, score.shape)
             if best is not None:
                 score, all_id = np.hstack([best, score]), np.hstack([best_id, all_id])
             if score.shape[1] > k:
-                # all that tie with the k-th stay in play, so that ids decide
-                cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                order = np.lexsort((all_id, np.where(score >= cut, -score, np.inf)), axis=1)[:, :k]
+                order = np.lexsort((all_id, -score), axis=1)[:, :k]
                 score, all_id = np.take_along_axis(score, order, 1), np.take_along_axis(all_id, order, 1)
             best, best_id = score, all_id
         yield from result()
 
-    found = met.mapInArrow(rerank, schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = met.mapInArrow(lean(rerank), schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # a query has at most k rows of each block of its windows
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def exact_best(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, k: int, largest: float) -> np.ndarray:
+    """Inner products of each query with the candidates that can be among its ``k`` best, by one formula for each pair;
+    -inf for all others and the query's own id. A matrix product, which rounds by its shape, only tells which can."""
+    rough = q @ x.T
+    rough[q_id[:, None] == x_id[None, :]] = -np.inf
+    cut = np.full((len(q), 1), -np.inf)
+    if rough.shape[1] > k:
+        margin = 1e-12 * largest * np.sqrt((q * q).sum(1))
+        cut = (-np.partition(-rough, k - 1, axis=1)[:, k - 1] - margin)[:, None]
+    i, j = np.nonzero((rough >= cut) & (rough > -np.inf))
+    score = np.full(rough.shape, -np.inf)
+    for a in range(0, len(i), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        score[i[part], j[part]] = (q[i[part]] * x[j[part]]).sum(1)
+    return score
+
+
+def _window(rows: DataFrame, placed: DataFrame, k: int, n: int, recall: float, probes: int) -> int:
+    """The least window that reaches ``recall`` for the true neighbours of some queries (those of least hashes)."""
+    asked = rows.filter("query").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(probes).toArrow()
+    ids = asked["id"].to_numpy()
+    q = np.array(asked["v"].to_pylist(), np.float64)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, best_id = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4_096):
+                part = batch.slice(a, 4_096)
+                x_id = part.column(0).to_numpy()
+                score = q @ vectors.matrix(part.column(1)).T
+                score[ids[:, None] == x_id[None, :]] = -np.inf
+                best, best_id = np.hstack([best, score]), np.hstack([best_id, np.broadcast_to(x_id, score.shape)])
+                order = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+        good = np.isfinite(best.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[good]), pa.array(best_id.ravel()[good]), pa.array(best.ravel()[good])], ["q", "id", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    true = rows.select("id", "v").mapInArrow(lean(nearest), "q long, id long, score double").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    true = true.select("q", "id").toArrow()
+    a, b = true["q"].to_numpy(), true["id"].to_numpy()
+    if not len(a):
+        return min(n, 4 * k)
+    spark = rows.sparkSession
+    # as many rows as probes and their neighbours
+    wanted = spark.createDataFrame([(int(x), 0) for x in np.unique(a)] + [(int(x), 1) for x in np.unique(b)], "id long, kind int")
+    at = placed.join(F.broadcast(wanted), ["id", "kind"]).select("curve", "kind", "id", "place").toArrow()
+    curve, kind, who, place = (at[c].to_numpy() for c in ("curve", "kind", "id", "place"))
+    nearest_by = np.full(len(a), n, np.int64)
+    for c in np.unique(curve):
+        of_query = dict(zip(who[(curve == c) & (kind == 0)].tolist(), place[(curve == c) & (kind == 0)].tolist(), strict=True))
+        of_other = dict(zip(who[(curve == c) & (kind == 1)].tolist(), place[(curve == c) & (kind == 1)].tolist(), strict=True))
+        gap = np.array([abs(of_query[x] - of_other[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        nearest_by = np.minimum(nearest_by, gap)
+    need = int(np.quantile(nearest_by, recall, method="higher"))
+    return min(n, max(4 * k, 2 * need + 1))
+
+
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 2_048) -> Iterator[pa.RecordBatch]:
     """Runs of rows with equal first four columns, cut to ``most`` rows."""
     for batch in batches:
