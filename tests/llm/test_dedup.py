@@ -168,10 +168,45 @@ def test_itq(spark):
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
     want = roots(range(300), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
-    for block in (1024, 16):
-        got = {r["vec_id"]: r for r in itq_dedup.near_duplicates(e, block_rows=block).collect()}
+    for direct, block in ((32, 1024), (4, 16), (1000, 1024)):
+        got = {r["vec_id"]: r for r in itq_dedup.near_duplicates(e, direct_rows=direct, block_rows=block).collect()}
         assert len(got) == len(rows)
         for k in range(300):
             assert (got[k]["n_links"], got[k]["component_id"]) == (int(near[k].sum()), want[k])
         assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(900, 905)) and got[None]["component_id"] is None
     assert itq_dedup.near_duplicates(e.limit(0)).count() == 0
+
+
+def test_itq_on_vectors_off_the_origin():
+    """Recall measured against brute force, and no crowded bucket, also where all vectors share a direction."""
+    rng = np.random.default_rng(7)
+    for shift in (0.0, 1.0, 3.0):
+        x = rng.normal(size=(4_000, 32))
+        x[2_000:] = x[:2_000] + rng.normal(size=(2_000, 32)) * rng.uniform(0.1, 0.5, (2_000, 1))
+        x += shift
+        codes, radius, measured = itq_dedup.fit(x[:1500], 4_000, 0.95, 0.99, 24, 1)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+        some = rng.permutation(len(a))[:20_000]
+        apart = itq_dedup.differing(codes.substrings(x[a[some]]), codes.substrings(x[b[some]]))
+        found = ((apart <= 1).any(1) & (apart.sum(1) <= radius)).mean()
+        assert found >= 0.98 and measured >= 0.98
+        sizes = np.unique(codes.substrings(x)[:, 0], return_counts=True)[1]
+        assert sizes.max() <= 0.25 * len(x)
+        assert abs(codes.bits_of(x).mean() - 0.5) < 0.05
+
+
+def test_itq_at_the_threshold(spark):
+    """Pairs whose cosine is the threshold to the last digits: one formula decides, in pairs and in blocks alike."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 16))
+    pair = np.vstack([x, x + rng.normal(size=x.shape) * 0.25])
+    cos = itq_dedup.cosines(pair[:60], pair[60:])
+    e = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(pair)], "vec_id long, embedding array<double>")
+    at = float(np.sort(cos)[30])
+    for threshold in (at, float(np.nextafter(at, 2))):
+        want = int((cos >= threshold).sum())
+        for direct in (0, 32):
+            got = itq_dedup.near_duplicates(e, threshold=threshold, direct_rows=direct, block_rows=13).collect()
+            assert sum(r["n_links"] for r in got) == 2 * want
+    assert not any((itq_dedup.cosines(pair[:60], pair[60:]) >= t).sum() != (itq_dedup.cosines(pair[60:], pair[:60]) >= t).sum() for t in cos)

@@ -73,6 +73,48 @@ def test_search(spark, n):
     assert hilbert_search.search(e.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_ranks_equal_vectors_by_id(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 24))
+    rows = [(k * 300 + j, [float(v) for v in x[j]], "x") for k in range(3) for j in range(300)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(7)
+    got = {}
+    for r in hilbert_search.search(e, F.col("vec_id") % 20 == 0, query_slice=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 45
+    for found in got.values():
+        found.sort()
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        by = {}
+        for _, i, score in found:
+            by.setdefault(i % 300, set()).add(score)
+        assert all(len(v) == 1 for v in by.values())
+
+
+def test_search_window_stays_where_neighbours_are_near(spark):
+    """Clustered vectors: the measured window doesn't follow the size of the table."""
+    rng = np.random.default_rng(5)
+    windows = []
+    for n in (1500, 6000):
+        centres = rng.normal(size=(n // 30, 12))
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        x = np.repeat(centres, 30, axis=0) + rng.normal(size=(n // 30 * 30, 12)) * 0.01
+        e = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+        seen = []
+        real = hilbert_search._window
+        hilbert_search._window = lambda *a, seen=seen: seen.append(real(*a)) or seen[-1]
+        try:
+            got = hilbert_search.search(e, F.col("vec_id") % 20 == 0)
+        finally:
+            hilbert_search._window = real
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        hits = [r["vec_id"] in set(np.argsort(-s[r["query_id"]])[:20].tolist()) for r in got.collect()]
+        assert np.mean(hits) >= 0.9
+        windows.append(seen[0])
+    assert windows[1] < 2.5 * windows[0]
+
+
 def test_hilbert_keys_are_a_walk():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = hilbert_search.hilbert_keys(cells, 3)
