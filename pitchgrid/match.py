@@ -18,17 +18,18 @@ class Match:
     tracks: DataFrame
     objects: DataFrame
     source: str
-    frames: int
+    #: match_id and n_frames, a row per match
+    lengths: DataFrame
 
     @classmethod
     def read_raw(cls, spark: SparkSession, path: str) -> Match:
         rows = raw.read_raw(spark, path)
-        return cls(rows, raw.objects_of(rows), "raw", raw.match_length(rows).agg(F.max("n_frames")).first()[0] or 0)
+        return cls(rows, raw.objects_of(rows), "raw", raw.match_length(rows))
 
     @classmethod
     def read_wide(cls, spark: SparkSession, path: str) -> Match:
         rows = wide.read_wide(spark, path)
-        return cls(rows, raw.objects_of(rows), "wide", rows.agg(F.max("frame")).first()[0] or 0)
+        return cls(rows.drop("name"), wide.objects_of(rows), "wide", rows.groupBy("match_id").agg(F.max("frame").cast("long").alias("n_frames")))
 
     def player(self, object_id: str) -> DataFrame:
         return self.tracks.filter((F.col("object_id") == object_id) & (F.col("object_type") != "ball"))
@@ -52,7 +53,7 @@ class Match:
 
     def merge_players(self, first: str, second: str, prefer: str = "row") -> Match:
         """Both go and their union, under the first one's id, team and name, comes last."""
-        merged = edits.merge(self.tracks, first, second, self.frames, prefer, keys=("match_id",))
+        merged = edits.merge(self.tracks, first, second, self.lengths, prefer, keys=("match_id",))
         rest = self.tracks.filter(~F.col("object_id").isin(first, second))
         last = self.objects.agg(F.max("ord")).first()[0] or 0
         objects = edits.remove(self.objects, second).withColumn("ord", F.when(F.col("object_id") == first, last + 1).otherwise(F.col("ord")))
@@ -64,6 +65,10 @@ class Match:
     def change_name(self, object_id: str, name: str) -> Match:
         return replace(self, objects=edits.change(self.objects, object_id, "name", name))
 
+    def add_frames(self, rows: DataFrame) -> Match:
+        """More rows of objects that are there, or of the ball."""
+        return replace(self, tracks=self.tracks.unionByName(rows))
+
     def replace_frames(self, new: DataFrame) -> Match:
         return replace(self, tracks=edits.replace_frames(self.tracks, new))
 
@@ -80,13 +85,25 @@ class Match:
         return self.tracks.filter(F.col("frame") == n)
 
     def moments(self) -> DataFrame:
+        """A row per frame of the ball: time, ball, home and away; see aggregates.player_loc and ball_loc."""
         teams = self.objects.select("match_id", "object_id", F.col("team_label").try_cast("double").alias("team_id"))
         players = self.tracks.filter("object_type <> 'ball'").join(teams, ["match_id", "object_id"])
-        return aggregates.moments(players)
+        return aggregates.moments(players, balls=self.ball)
 
     def each_moment(self) -> Iterator[Row]:
         """Moments in frame order, a partition at a time."""
         return self.moments().orderBy("match_id", "frame").toLocalIterator()
 
+    def render_records(self) -> DataFrame:
+        """What a renderer draws of each frame, by the teams of the objects."""
+        teams = self.objects.select("match_id", "object_id", "team_label")
+        rows = self.tracks.drop("team_label").join(teams, ["match_id", "object_id"], "left")
+        return aggregates.render_records(rows, self.lengths)
+
     def export_lines(self) -> DataFrame:
-        return sinks.raw_lines(self.tracks, self.objects)
+        """Lines of the format that the match came in, with match_id, frame and ord for their order."""
+        return wide.wide_lines(self.tracks, self.objects) if self.source == "wide" else sinks.raw_lines(self.tracks, self.objects)
+
+    def export(self, path: str, single: bool = True) -> None:
+        """Writes the match in the format that it came in; the wide format's headers are among its lines."""
+        sinks.write_lines(self.export_lines(), path, None if self.source == "wide" else sinks.RAW_HEADER, single)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.functions.geometry import label_place, label_text
+
 
 def zscore(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Columns less their mean by their population deviation, which counts as 1 where it is 0."""
@@ -34,11 +36,58 @@ def still_exists(rows: DataFrame, after: int, keys: Sequence[str]) -> DataFrame:
     return placed.groupBy(*keys).agg(F.bool_or((F.col("_n") > after) & F.col("x").isNotNull()).alias("still_exists"))
 
 
-def moments(rows: DataFrame, keys: Sequence[str] = ("match_id", "frame"), fields: Sequence[str] = ("object_id", "x", "y"), team: str = "team_id") -> DataFrame:
-    """A row per frame: ``home`` and ``away``, arrays of the frame's objects by id."""
+def moments(rows: DataFrame, keys: Sequence[str] = ("match_id", "frame"), fields: Sequence[str] = ("object_id", "x", "y"), team: str = "team_id", balls: DataFrame | None = None) -> DataFrame:
+    """A row per frame: ``home`` and ``away``, arrays of the frame's objects by id.
+
+    With ``balls`` (keys, time and the fields but the id), a row per frame of the ball, with ``time`` and ``ball``: a
+    frame without players has empty arrays, and players of a frame without the ball are left out."""
     item = F.struct(*fields)
     side = lambda home: F.array_sort(F.collect_list(F.when((F.col(team) < 1) if home else ~F.coalesce(F.col(team) < 1, F.lit(False)), item)))
-    return rows.groupBy(*keys).agg(side(True).alias("home"), side(False).alias("away"))
+    players = rows.groupBy(*keys).agg(side(True).alias("home"), side(False).alias("away"))
+    if balls is None:
+        return players
+    one = balls.groupBy(*keys).agg(F.min("time").alias("time"), F.min(F.struct(*fields[1:])).alias("ball"))
+    none = F.array().cast(players.schema["home"].dataType)
+    joined = one.join(players, list(keys), "left")
+    return joined.select(*keys, "time", "ball", *(F.coalesce(F.col(c), none).alias(c) for c in ("home", "away")))
+
+
+def player_loc(object_id) -> Column:
+    """Of a moment: where the player with this id is, a struct (x, y); NULL if not there or without a point."""
+    found = F.get(F.filter(F.concat("home", "away"), lambda o: o["object_id"].cast("string") == F.lit(str(object_id))), F.lit(0))
+    return F.when(found["x"].isNotNull() & found["y"].isNotNull(), F.struct(found["x"].alias("x"), found["y"].alias("y")))
+
+
+def ball_loc() -> Column:
+    """Of a moment: where the ball is, a struct (x, y); NULL without a point."""
+    ball = F.col("ball")
+    return F.when(ball["x"].isNotNull() & ball["y"].isNotNull(), F.struct(ball["x"].alias("x"), ball["y"].alias("y")))
+
+
+def render_records(tracks: DataFrame, last: DataFrame, keys: Sequence[str] = ("match_id",), team: str = "team_label") -> DataFrame:
+    """What a renderer draws of each frame from 1 to a match's last (``last``: keys, n_frames): ``players`` in the order of
+    their ids (box, label and where it stands, team), the pitch points of either side, the ball's box and pitch point.
+    A frame without players or ball has empty arrays and NULLs."""
+    number = F.col(team).try_cast("double")
+    label_x, label_y = label_place()
+    ball_x, ball_y = label_place(dx=17, dy=10)
+    there = tracks.withColumn("_team", number)
+    ball = F.col("object_type") == "ball"
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    player = F.struct("object_id", *box, label_text("object_id", "Player #").alias("label"), label_x.alias("label_x"), label_y.alias("label_y"), number.cast("int").alias("team"))
+    point = F.struct("object_id", "x", "y")
+    home = F.coalesce(F.col("_team") < 1, F.lit(False))
+    seen = there.groupBy(*keys, "frame").agg(
+        F.array_sort(F.collect_list(F.when(~ball, player))).alias("players"),
+        F.array_sort(F.collect_list(F.when(~ball & home, point))).alias("home_points"),
+        F.array_sort(F.collect_list(F.when(~ball & ~home, point))).alias("away_points"),
+        F.min(F.when(ball, F.struct(ball_x.alias("x1"), ball_y.alias("y1"), "x2", "y2"))).alias("ball"),
+        F.min(F.when(ball, F.struct("x", "y"))).alias("ball_point"),
+    )
+    spine = last.select(*keys, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_frames").cast("int")))).alias("frame"))
+    joined = spine.join(seen, [*keys, "frame"], "left")
+    lists = ("players", "home_points", "away_points")
+    return joined.select(*keys, "frame", *(F.coalesce(F.col(c), F.array().cast(seen.schema[c].dataType)).alias(c) for c in lists), "ball", "ball_point")
 
 
 def has_next(frames: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -52,15 +52,17 @@ def pad_boxes(detections: DataFrame, px: float = 10.0) -> DataFrame:
 def nms(detections: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ("match_id", "frame"), order: Sequence[str] = ("det_id",)) -> DataFrame:
     """Greedy non-maximum suppression whatever the class: by falling confidence (ties by ``order``), a box stays if no
     box that stayed overlaps it by more than ``threshold``. A frame's boxes are few, so a fold in one row will do."""
-    box = F.struct((-F.col("confidence")).alias("c"), *order, "x1", "y1", "x2", "y2")
+    # the whole row travels with its box, so nothing is joined back
+    rest = [c for c in detections.columns if c not in keys and c not in order]
+    box = F.struct((-F.col("confidence")).alias("_c"), *order, *rest)
     frames = detections.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
     kind = "array<" + frames.schema["b"].dataType.elementType.simpleString() + ">"
 
     def step(kept: Column, b: Column) -> Column:
         return F.when(F.exists(kept, lambda k: iou(k, b) > threshold), kept).otherwise(F.concat(kept, F.array(b)))
 
-    kept = frames.select(*keys, F.explode(F.aggregate("b", F.array().cast(kind), step)).alias("k")).select(*keys, (-F.col("k.c")).alias("confidence"), *(F.col(f"k.{o}").alias(o) for o in order))
-    return detections.join(kept, [*keys, "confidence", *order], "left_semi")
+    kept = frames.select(*keys, F.explode(F.aggregate("b", F.array().cast(kind), step)).alias("k"))
+    return kept.select(*(F.col(c) if c in keys else F.col("k")[c].alias(c) for c in detections.columns))
 
 
 def first_ball(detections: DataFrame, keys: Sequence[str] = ("match_id", "frame"), order: Sequence[str] = ("det_id",)) -> DataFrame:
@@ -106,6 +108,8 @@ def keeper_team(keepers: DataFrame, players: DataFrame, keys: Sequence[str] = ("
 
 def with_template(keypoints: DataFrame, pitch: DataFrame, confidence: float = 0.5) -> DataFrame:
     """Key points above the confidence with their place on the pitch; the template has a few dozen rows."""
+    if pitch.limit(10_001).count() > 10_000:
+        raise ValueError("a template of more than 10,000 points")
     return keypoints.filter(F.col("confidence") > confidence).join(F.broadcast(pitch), "vertex_idx")
 
 

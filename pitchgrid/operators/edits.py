@@ -21,11 +21,16 @@ def team(objects: DataFrame, value, column: str = "team_label") -> DataFrame:
     return objects.filter(F.col(column) == value)
 
 
-def merge(tracks: DataFrame, first, second, last: int, prefer: str = "row", key: str = "object_id", keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``first`` and, where it has none, of ``second``, under the id of ``first``, for frames 1 to ``last``.
+def merge(tracks: DataFrame, first, second, last: int | DataFrame | None = None, prefer: str = "row", key: str = "object_id", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``first`` and, where it has none, of ``second``, under the id of ``first``, for frames 1 to
+    ``last``: a number, or a table of ``keys`` and n_frames; without it, all.
 
     ``prefer``: 'row' takes a row of ``first`` even if its point is missing; 'value' skips missing ones."""
-    rows = tracks.filter(F.col(key).isin(first, second) & F.col("frame").between(1, last))
+    rows = tracks.filter(F.col(key).isin(first, second) & (F.col("frame") >= 1))
+    if isinstance(last, DataFrame):
+        rows = rows.join(last.select(*keys, F.col("n_frames").alias("_n")), list(keys)).filter("frame <= _n")
+    elif last is not None:
+        rows = rows.filter(F.col("frame") <= last)
     second_choice = (F.col(key) != first).cast("int")
     if prefer == "value":
         second_choice = second_choice + 2 * F.col("x").isNull().cast("int")

@@ -36,6 +36,8 @@ class KernelConfig:
     peak_prominence: float = 20.0
     gap_margin: int = 8
     warm_up: bool = True
+    #: shorter paths are left as they are
+    least_frames: int = 3
 
 
 def cluster_filter(path: np.ndarray, c: KernelConfig) -> np.ndarray:
@@ -59,11 +61,15 @@ def cluster_filter(path: np.ndarray, c: KernelConfig) -> np.ndarray:
             i = parent[i]
         return i
 
+    # the points nearest in time, those before and after alike; a link of either point counts
     order = np.argsort(path[:, 0], kind="stable")
+    time = path[order, 0]
     for a in range(n):
-        i = order[a]
-        for b in range(a + 1, min(n, a + 1 + c.time_neighbours)):
-            j = order[b]
+        low, high = max(0, a - c.time_neighbours), min(n, a + c.time_neighbours + 1)
+        others = [b for b in range(low, high) if b != a]
+        others.sort(key=lambda b: (abs(time[b] - time[a]), b))
+        for b in others[: c.time_neighbours]:
+            i, j = order[a], order[b]
             if np.sqrt(((z[i] - z[j]) ** 2).sum()) < near:
                 parent[root(i)] = root(j)
     labels = np.array([root(i) for i in range(n)])
@@ -123,7 +129,7 @@ def smoothed(xy: np.ndarray, c: KernelConfig) -> np.ndarray:
 
 
 def _inliers(u: np.ndarray, v: np.ndarray, c: KernelConfig, seed: int) -> np.ndarray:
-    """Most points within the residual of a line v(u) through two of them, then of the line fitted to those."""
+    """The points within the residual of a line v(u) through two of them: of ``trials`` lines, the one with most."""
     rng = np.random.default_rng(seed)
     best = np.zeros(len(u), bool)
     for _ in range(c.trials):
@@ -204,13 +210,14 @@ def remove_arcs(frames: np.ndarray, xy: np.ndarray, c: KernelConfig = KernelConf
 
 def straighten(tracks: DataFrame, config: KernelConfig = KernelConfig(), keys: Sequence[str] = ("match_id", "object_id")) -> DataFrame:
     """Tracks with x and y replaced by the straightened path, one frame late as the format has it: frame f takes the
-    path at f - 1, and the last frame keeps its point. Tracks with fewer than three points stay as they are."""
+    path at f - 1, and the last frame keeps its point. Tracks with fewer than ``least_frames`` points, or three, stay as
+    they are."""
     types = {f.name: f.dataType for f in tracks.schema.fields}
     schema = T.StructType([*(T.StructField(k, types[k]) for k in keys), T.StructField("frame", T.IntegerType()), T.StructField("sx", T.DoubleType()), T.StructField("sy", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame").drop_duplicates("frame")
-        if len(pdf) < 3:
+        if len(pdf) < max(3, config.least_frames):
             return pdf.iloc[:0][[*keys, "frame"]].assign(sx=0.0, sy=0.0)
         frames = pdf["frame"].to_numpy()
         line = remove_arcs(frames, pdf[["x", "y"]].to_numpy(float), config)

@@ -23,11 +23,17 @@ class Tracker:
     next_id: int = 1
     #: id, box, velocity, last frame, hits
     tracks: list[list] = field(default_factory=list)
+    #: frames a second; the buffer of lost tracks counts thirtieths
+    fps: float | None = None
+
+    @property
+    def most_lost(self) -> int:
+        return self.config.lost_buffer if self.fps is None else int(self.fps / 30.0 * self.config.lost_buffer)
 
     def update(self, frame: int, boxes: np.ndarray, confidence: np.ndarray) -> np.ndarray:
         """Track id of each box, 0 for none (too unsure, or not seen often enough yet)."""
         ids = np.zeros(len(boxes), np.int64)
-        self.tracks = [t for t in self.tracks if frame - t[3] <= self.config.lost_buffer]
+        self.tracks = [t for t in self.tracks if frame - t[3] <= self.most_lost]
         free = list(range(len(self.tracks)))
         sure = confidence >= self.config.activation
         for stage in (np.flatnonzero(sure), np.flatnonzero(~sure)):
@@ -68,8 +74,8 @@ class Tracker:
         return [self.next_id, [[t[0], t[1].tolist(), t[2].tolist(), t[3], t[4]] for t in self.tracks]]
 
     @classmethod
-    def load(cls, config: TrackConfig, state: list) -> Tracker:
-        return cls(config, state[0], [[t[0], np.array(t[1], float), np.array(t[2], float), t[3], t[4]] for t in state[1]])
+    def load(cls, config: TrackConfig, state: list, fps: float | None = None) -> Tracker:
+        return cls(config, state[0], [[t[0], np.array(t[1], float), np.array(t[2], float), t[3], t[4]] for t in state[1]], fps)
 
 
 def run_frames(tracker: Tracker, pdf: pd.DataFrame, frame: str = "frame", order: str = "det_id") -> pd.DataFrame:
@@ -83,12 +89,12 @@ def run_frames(tracker: Tracker, pdf: pd.DataFrame, frame: str = "frame", order:
     return pdf.assign(tracker_id=ids)
 
 
-def track(detections: DataFrame, config: TrackConfig = TrackConfig(), keys: Sequence[str] = ("match_id",)) -> DataFrame:
+def track(detections: DataFrame, config: TrackConfig = TrackConfig(), keys: Sequence[str] = ("match_id",), fps: float | None = None) -> DataFrame:
     """Detections with ``tracker_id``, 0 where none. A match is one task's, as each frame needs the one before."""
     names = detections.columns
     schema = T.StructType([*detections.schema.fields, T.StructField("tracker_id", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(Tracker(config), pdf)[[*names, "tracker_id"]]
+        return run_frames(Tracker(config, fps=fps), pdf)[[*names, "tracker_id"]]
 
     return detections.groupBy(*keys).applyInPandas(run, schema)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import distance
+from pitchgrid.operators import folds
 
 KEYS = ("match_id", "object_id")
 
@@ -54,27 +56,11 @@ def lone_points(tracks: DataFrame, radius: float, keys: Sequence[str] = KEYS) ->
     return together.select(tracks.columns).unionByName(near)
 
 
-def chain_filter(tracks: DataFrame, radius: float, keys: Sequence[str] = KEYS, max_native: int | None = None) -> DataFrame:
+def chain_filter(tracks: DataFrame, radius: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Points within ``radius`` of the last point kept; the first is kept, missing ones and exact (0, 0) are skipped.
 
-    A fold over the object's ordered points. The native fold copies what it has kept at each step, so where objects
-    have more than ``max_native`` points, a streaming fold in Arrow over sorted partitions takes their place."""
-    live = tracks.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~((F.col("x") == 0) & (F.col("y") == 0)))
-    if max_native is not None:
-        from pitchgrid.operators.folds import chain_filter_arrow
-
-        longest = live.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if longest > max_native:
-            return chain_filter_arrow(live, radius, keys)
-    points = live.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "x", "y"))).alias("p"))
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("kept"))
-
-    def step(s: Column, p: Column) -> Column:
-        keep = s["x"].isNull() | (distance(p["x"], p["y"], s["x"], s["y"]) <= radius)
-        return F.when(keep, F.struct(p["x"].alias("x"), p["y"].alias("y"), F.concat(s["kept"], F.array(p["frame"].cast("int"))).alias("kept"))).otherwise(s)
-
-    kept = points.select(*keys, F.explode(F.aggregate("p", start, step)["kept"]).alias("frame"))
-    return live.join(kept, [*keys, "frame"], "left_semi")
+    A fold over the object's ordered points: each depends on the one kept before it. It streams in Arrow."""
+    return folds.per_object(tracks, keys, lambda v, n: folds.chain(v["x"], v["y"], radius), ("x", "y"))
 
 
 def survivor_spine(tracks: DataFrame, survivors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -124,52 +110,38 @@ def fill_gaps(tracks: DataFrame, columns: Sequence[str] = ("x", "y"), keys: Sequ
     ``compat``: m missing points after value v and before value e become v + i / (m + 2) (e - v), and the real point
     after them is overwritten by i = m + 1; the next gap starts from there. Otherwise: linear, real points stay.
     Points without a real one on both sides stay missing."""
+    if compat:
+        return folds.per_object(tracks, keys, lambda v, n: folds.fill_between({c: v[c] for c in columns}, columns[0]), columns)
     rows = _gaps(tracks, keys, columns)
-    if not compat:
-        share = (F.col("_n") - F.col("_b._n")) / F.greatest(F.lit(1), F.col("_a._n") - F.col("_b._n"))
-        linear = {c: F.coalesce(F.col(c), F.col(f"_b.{c}") + share * (F.col(f"_a.{c}") - F.col(f"_b.{c}"))) for c in columns}
-        return rows.withColumns(linear).drop("_n", "_a", "_b")
-    real = rows.filter(F.col(columns[0]).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *columns))).alias("_p"))
-    fitted = [f"v_{c}" for c in columns]
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(None).cast("int").alias("_n"), *(none.alias(v) for v in fitted), F.array().cast("array<struct<_n: int, " + ", ".join(f"{v}: double" for v in fitted) + ">>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        m = p["_n"] - s["_n"] - 1
-        value = {v: F.when(s["_n"].isNotNull() & (m > 0), s[v] + (m + 1) / (m + 2) * (p[c] - s[v])).otherwise(p[c]) for c, v in zip(columns, fitted, strict=True)}
-        own = F.struct(p["_n"].cast("int").alias("_n"), *(x.alias(v) for v, x in value.items()))
-        return F.struct(p["_n"].cast("int").alias("_n"), *(x.alias(v) for v, x in value.items()), F.concat(s["out"], F.array(own)).alias("out"))
-
-    anchors = real.select(*keys, F.explode(F.aggregate("_p", start, step)["out"]).alias("_v")).select(*keys, F.col("_v._n").alias("_at"), *(F.col(f"_v.{v}").alias(v) for v in fitted))
-    rows = rows.withColumn("_at", F.col("_b._n"))
-    rows = rows.join(anchors, [*keys, "_at"], "left")
-    m = F.col("_a._n") - F.col("_b._n") - 1
-    i = F.col("_n") - F.col("_b._n")
-    filled = {c: F.when(F.col(c).isNotNull(), F.col(v)).when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col(v) + i / (m + 2) * (F.col(f"_a.{c}") - F.col(v))) for c, v in zip(columns, fitted, strict=True)}
-    return rows.withColumns(filled).select(tracks.columns)
+    share = (F.col("_n") - F.col("_b._n")) / F.greatest(F.lit(1), F.col("_a._n") - F.col("_b._n"))
+    linear = {c: F.coalesce(F.col(c), F.col(f"_b.{c}") + share * (F.col(f"_a.{c}") - F.col(f"_b.{c}"))) for c in columns}
+    return rows.withColumns(linear).drop("_n", "_a", "_b")
 
 
 def clean_path_filters(tracks: DataFrame, lone: float, chain: float, keys: Sequence[str] = KEYS, columns: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Lone points, chain filter, spine, both pads and the gap filling: a clean path but for its arcs."""
-    alive = chain_filter(lone_points(tracks, lone, keys), chain, keys)
-    spine = survivor_spine(tracks, alive, keys)
-    return fill_gaps(pad_end(pad_start(spine, columns, keys), columns, keys), columns, keys)
+    """Lone points, chain filter, spine, both pads and the gap filling, in one pass over each object: a clean path but
+    for its arcs. The operators of these steps give the same one after the other."""
+    columns = [*columns, *(c for c in ("x", "y", "x1", "y1", "x2", "y2") if c in tracks.columns and c not in columns)]
+    return folds.per_object(tracks, keys, lambda v, n: folds.clean({c: v[c] for c in columns}, lone, chain), columns)
 
 
-def interpolate_grid(knots: DataFrame, last: int, first: int = 0, keys: Sequence[str] = KEYS, column: str = "x") -> DataFrame:
+def interpolate_grid(knots: DataFrame, last: int | None = None, first: int = 0, keys: Sequence[str] = KEYS, column: str = "x") -> DataFrame:
     """Piecewise linear values on the frames ``first`` to ``last``; beyond the knots, the outer two's line goes on.
 
-    An object with one knot has its value everywhere. The grid is joined by segment, not frame by frame."""
+    Without ``last``, an object's grid ends at its own last frame, with or without a value. An object with one knot has
+    its value everywhere. The grid is joined by segment, not frame by frame."""
     w = _by(keys)
+    end = F.lit(last) if last is not None else F.max("frame").over(Window.partitionBy(*keys))
+    knots = knots.withColumn("_end", end)
     seg = knots.filter(F.col(column).isNotNull()).select(
         *keys, F.col("frame").alias("f0"), F.col(column).alias("v0"), F.lead("frame").over(w).alias("f1"), F.lead(column).over(w).alias("v1"),
-        F.lag("frame").over(w).alias("fp"), F.lag(column).over(w).alias("vp"),
+        F.lag("frame").over(w).alias("fp"), F.lag(column).over(w).alias("vp"), "_end",
     )
     is_first, is_last = F.col("fp").isNull(), F.col("f1").isNull()
     # the last knot draws its line from the one before it
     seg = seg.withColumn("slope", F.when(~is_last, (F.col("v1") - F.col("v0")) / (F.col("f1") - F.col("f0"))).when(~is_first, (F.col("v0") - F.col("vp")) / (F.col("f0") - F.col("fp"))).otherwise(F.lit(0.0)))
     low = F.when(is_first, F.lit(first)).otherwise(F.greatest(F.col("f0"), F.lit(first)))
-    high = F.when(is_last, F.lit(last)).otherwise(F.least(F.col("f1") - 1, F.lit(last)))
+    high = F.when(is_last, F.col("_end")).otherwise(F.least(F.col("f1") - 1, F.col("_end")))
     frames = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
     rows = seg.select(*keys, "f0", "v0", "slope", F.explode(frames).alias("frame"))
     return rows.select(*keys, "frame", (F.col("v0") + F.col("slope") * (F.col("frame") - F.col("f0"))).alias(column))
@@ -195,6 +167,19 @@ def local_peaks(rows: DataFrame, column: str, keys: Sequence[str] = KEYS) -> Dat
     return rows.withColumns({"_p": F.lag(column).over(w), "_q": F.lead(column).over(w)}).filter((F.col(column) > F.col("_p")) & (F.col(column) > F.col("_q"))).drop("_p", "_q")
 
 
+def peaks(rows: DataFrame, column: str, distance: int = 20, prominence: float = 20.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of local maxima that rise by ``prominence`` above what parts them from higher values; of two that are nearer
+    than ``distance`` rows, the higher one (then the earlier). Missing values count as the lowest."""
+    from pitchgrid.operators.kernel import peaks as at
+
+    def step(v: dict, n: int) -> np.ndarray:
+        keep = np.zeros(n, bool)
+        keep[at(np.where(np.isnan(v[column]), -np.inf, v[column]), distance, prominence)] = True
+        return keep
+
+    return folds.per_object(rows, keys, step, (column,))
+
+
 def peaks_in_gaps(segments: DataFrame, peaks: DataFrame, margin: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
     """Peaks between the end of a segment and the start of the next, ``margin`` frames inside at least.
 
@@ -206,9 +191,11 @@ def peaks_in_gaps(segments: DataFrame, peaks: DataFrame, margin: int = 8, keys:
     return peaks.join(gaps, list(keys)).filter(F.col("frame").between(F.col("low"), F.col("high"))).drop("k", "low", "high").distinct()
 
 
-def shifted(smooth: DataFrame, original: DataFrame, last: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Frame f takes the smooth value of f - 1; the last frame keeps its own."""
+def shifted(smooth: DataFrame, original: DataFrame, last: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Frame f takes the smooth value of f - 1; the last frame, by default an object's own, keeps its value."""
+    original_columns = original.columns
+    original = original.withColumn("_last", F.lit(last) if last is not None else F.max("frame").over(Window.partitionBy(*keys)))
     moved = smooth.select(*keys, (F.col("frame") + 1).alias("frame"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     joined = original.join(moved, [*keys, "frame"], "left")
-    keep = (F.col("frame") >= last) | F.col("_x").isNull()
-    return joined.withColumns({"x": F.when(keep, F.col("x")).otherwise(F.col("_x")), "y": F.when(keep, F.col("y")).otherwise(F.col("_y"))}).select(original.columns)
+    keep = (F.col("frame") >= F.col("_last")) | F.col("_x").isNull()
+    return joined.withColumns({"x": F.when(keep, F.col("x")).otherwise(F.col("_x")), "y": F.when(keep, F.col("y")).otherwise(F.col("_y"))}).select(original_columns)

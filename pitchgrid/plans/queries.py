@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions import geometry as g
-from pitchgrid.operators import aggregates, detections as det, edits, homography, kernel, tracker, tracks as ops
+from pitchgrid.operators import aggregates, detections as det, edits, homography, kernel, tracker, tracking, tracks as ops
 from pitchgrid.plans import views
 from pitchgrid.plans.views import BOX, MOM, TRK
-from pitchgrid.sources import raw, wide
+from pitchgrid.sources import matches, raw, sinks, wide
 
 K = ("object_id",)
 FRAME = ("frame",)
@@ -79,27 +79,76 @@ def stride_sample(spark, d):
     return ops.stride(views.tracks(spark, d), 30).select("object_id", "frame", r6("x").alias("x"))
 
 
-@query("SELECT frame, object_id, wx, wy FROM (SELECT frame, object_id, round(value, 6) + 0.0 AS wx, round(event_id::DOUBLE, 6) + 0.0 AS wy FROM mom WHERE object_id < 4)", MOM)
+def _moment_objects(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Moments as tracks of one match, whose objects are all players; and these objects by id."""
+    m = raw.keep_first(views.moment_rows(spark, d), ["frame", "object_id"], ["event_id"])
+    rows = m.select(F.lit("m").alias("match_id"), "frame", F.lit("player").alias("object_type"), F.col("object_id").cast("string").alias("object_id"), F.col("team").cast("string").alias("team_label"), F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"), F.col("event_id").alias("src_row"))
+    objects = rows.groupBy("match_id", "object_id").agg(F.min("team_label").alias("team_label"), F.col("object_id").cast("int").alias("ord"), F.concat(F.lit("P"), "object_id").alias("name"))
+    return rows, objects
+
+
+@query("SELECT frame, object_id, round(value, 6) + 0.0 AS wx, round(event_id::DOUBLE, 6) + 0.0 AS wy FROM mom", MOM)
 def wide_import(spark, d):
-    m = raw.keep_first(views.moment_rows(spark, d).filter("object_id < 4"), ["frame", "object_id"], ["event_id"])
-    pairs = [F.coalesce(F.max(F.when(F.col("object_id") == k, F.col(c).cast("string"))), F.lit("0")) for k in range(4) for c in ("value", "y")]
-    m = m.withColumn("y", F.col("event_id").cast("double"))
-    lines = m.groupBy("frame").agg(F.concat_ws(",", F.lit("1"), F.first("frame").cast("string"), F.lit("0"), *pairs).alias("line"))
-    # a file for each hundred frames
-    head = ",,,a,,b,,a,,b,\n,,,0,,1,,2,,3,\nPeriod,Frame,Time [s],P0,,P1,,P2,,P3,\n"
-    files = lines.groupBy(F.floor(F.col("frame") / 100).cast("string").alias("match_id")).agg(F.concat(F.lit(head), F.concat_ws("\n", F.collect_list("line"))).alias("value"))
+    rows, objects = _moment_objects(spark, d)
+    # objects are dealt to files, each with columns for its own
+    file = (F.col("object_id").cast("int") / 50).cast("int").cast("string").alias("match_id")
+    rows, objects = rows.withColumn("match_id", file), objects.withColumn("match_id", file)
+    lines = wide.wide_lines(rows, objects)
+    files = lines.groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "ord", "line"))), lambda r: r["line"]), "\n").alias("value"))
     t = wide.parse_wide(files).filter("x is not null")
     return t.select("frame", F.col("object_id").cast("long").alias("object_id"), r6("x").alias("wx"), r6("y").alias("wy"))
 
 
 @query(
-    "SELECT frame, " + ", ".join(f"round(coalesce(max(CASE WHEN object_id = {i} THEN value END), 0), 6) + 0.0 AS x_{i}, round(coalesce(max(CASE WHEN object_id = {i} THEN event_id::DOUBLE END), 0), 6) + 0.0 AS y_{i}" for i in (1, 2, 3, 25)) + " FROM mom GROUP BY frame",
+    "SELECT f.frame, o.object_id, round(coalesce(value, 0), 6) + 0.0 AS x, round(coalesce(event_id::DOUBLE, 0), 6) + 0.0 AS y "
+    "FROM (SELECT range::INT AS frame FROM range(1, (SELECT max(frame) + 1 FROM mom))) f CROSS JOIN (SELECT DISTINCT object_id FROM mom) o LEFT JOIN mom USING (frame, object_id)",
     MOM,
 )
 def wide_export(spark, d):
-    m = views.moment_rows(spark, d).select("frame", "object_id", F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"), F.col("event_id").alias("src_row"))
-    w = wide.pivot_wide(m, ["1", "2", "3", "25"])
-    return w.select("frame", *(r6(c).alias(c) for c in w.columns if c != "frame"))
+    rows, objects = _moment_objects(spark, d)
+    ids = objects.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "object_id"))), lambda o: o["object_id"]).alias("ids"))
+    cells = wide.wide_rows(rows, objects).join(ids, "match_id").select("frame", "ids", F.posexplode("cells").alias("k", "c")).filter(F.col("k") < F.size("ids"))
+    zero = lambda c: r6(F.coalesce(F.col(f"c.{c}"), F.lit(0.0))).alias(c)
+    return cells.select("frame", F.get("ids", F.col("k")).cast("long").alias("object_id"), zero("x"), zero("y"))
+
+
+_TYPED = "typed AS (SELECT *, CASE WHEN object_id = min(object_id) OVER (PARTITION BY match_id) THEN 'ball' ELSE 'player' END AS object_type FROM trk)"
+
+
+def _typed(spark, d) -> DataFrame:
+    """Tracks of matches with one ball each, the object of the least id."""
+    t = views.tracks(spark, d).drop("is_ball")
+    ball = F.col("object_id") == F.min("object_id").over(Window.partitionBy("match_id"))
+    t = t.withColumn("object_type", F.when(ball, "ball").otherwise("player")).withColumn("team_label", F.col("team").cast("string"))
+    return t.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x"), "y2": F.col("y"), "match_id": F.col("match_id").cast("string"), "object_id": F.col("object_id").cast("string")})
+
+
+def _read_back(lines: DataFrame, header: str) -> DataFrame:
+    parts = lines.select("match_id", F.lit(0).cast("long").alias("src_row"), F.split("line", ",").alias("parts"))
+    return raw.parse(parts.filter(F.size("parts") == len(header.split(","))))
+
+
+@query("SELECT match_id::VARCHAR AS match_id, frame, object_type, CASE WHEN object_type = 'ball' THEN 'ball' ELSE object_id::VARCHAR END AS object_id, CASE WHEN object_type <> 'ball' THEN team::VARCHAR END AS team_label, CASE WHEN y IS NOT NULL THEN round(x, 6) + 0.0 END AS x, CASE WHEN x IS NOT NULL THEN round(y, 6) + 0.0 END AS y FROM typed", TRK, _TYPED)
+def raw_export(spark, d):
+    t = _typed(spark, d)
+    back = _read_back(sinks.raw_lines(t, raw.objects_of(t)), sinks.RAW_HEADER)
+    return back.select("match_id", "frame", "object_type", "object_id", "team_label", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("SELECT match_id::VARCHAR AS match_id, frame, object_type, CASE WHEN object_type <> 'ball' THEN object_id::VARCHAR ELSE 'ball' END AS object_id, CASE WHEN object_type <> 'ball' THEN team::VARCHAR END AS team_label, CASE WHEN y IS NOT NULL THEN round(x, 6) + 0.0 END AS x FROM typed", TRK, _TYPED)
+def tracker_export(spark, d):
+    t = _typed(spark, d)
+    ball = F.col("object_type") == "ball"
+    rows = t.select("match_id", "frame", "object_type", F.when(~ball, F.col("object_id")).alias("object_id"), F.when(~ball, F.col("team")).alias("team_id"), "x1", "y1", "x2", "y2", "x", "y", F.when(ball, 3).otherwise(0).alias("part"), F.col("src_row").cast("int").alias("det_id"))
+    back = _read_back(tracking.tracker_lines(rows), sinks.TRACKER_HEADER)
+    return back.select("match_id", "frame", "object_type", "object_id", "team_label", r6("x").alias("x"))
+
+
+@query("SELECT object_id, frame, round(frame / (25.0::DOUBLE + match_id % 2 * 5), 6) + 0.0 AS time FROM trk", TRK)
+def match_time(spark, d):
+    t = views.tracks(spark, d).select("match_id", "object_id", "frame")
+    known = spark.createDataFrame([(1, 30.0), (2, None)], "match_id long, fps double")
+    return matches.timed(t, known, 25.0).select("object_id", "frame", r6("time").alias("time"))
 
 
 # Detections
@@ -309,22 +358,22 @@ def clean_ball_filters(spark, d):
 @query(
     "SELECT o.object_id, g.f AS frame, round(CASE WHEN b.frame IS NULL THEN a1.x + (g.f - a1.frame) * (a2.x - a1.x) / (a2.frame - a1.frame) "
     "WHEN n.frame IS NOT NULL THEN b.x + (g.f - b.frame) * (n.x - b.x) / (n.frame - b.frame) ELSE b.x + (g.f - b.frame) * (b.x - p.x) / (b.frame - p.frame) END, 6) + 0.0 AS x "
-    "FROM (SELECT DISTINCT object_id, 0 AS z FROM an) o CROSS JOIN (SELECT range::INT AS f FROM range(0, 101)) g "
+    "FROM (SELECT DISTINCT object_id, 0 AS z FROM an) o JOIN (SELECT object_id, unnest(range(0, max(frame) + 1))::INT AS f FROM trk GROUP BY object_id) g ON g.object_id = o.object_id "
     "ASOF LEFT JOIN an b ON b.object_id = o.object_id AND g.f >= b.frame "
     "LEFT JOIN an n ON n.object_id = o.object_id AND n.i = b.i + 1 LEFT JOIN an p ON p.object_id = o.object_id AND p.i = b.i - 1 "
     "JOIN an a1 ON a1.object_id = o.object_id AND a1.i = 1 JOIN an a2 ON a2.object_id = o.object_id AND a2.i = 2",
     TRK, _fill_sql("trk").split(",\nfit AS")[0],
 )
 def interp_grid(spark, d):
-    return ops.interpolate_grid(views.tracks(spark, d).select("object_id", "frame", "x"), 100, keys=K).select("object_id", "frame", r6("x").alias("x"))
+    return ops.interpolate_grid(views.tracks(spark, d).select("object_id", "frame", "x"), keys=K).select("object_id", "frame", r6("x").alias("x"))
 
 
-_ISL = """sparse AS (SELECT object_id, frame * 4 AS frame FROM trk WHERE x > 45),
+_ISL = """sparse AS (SELECT object_id, frame * 8 AS frame FROM trk WHERE x IS NOT NULL),
 isl AS (SELECT object_id, frame, (1 + sum(new) OVER (PARTITION BY object_id ORDER BY frame))::INT AS island FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY object_id ORDER BY frame) >= 15 THEN 1 ELSE 0 END AS new FROM sparse))"""
 
 
 def _sparse(spark, d) -> DataFrame:
-    return views.tracks(spark, d).filter("x > 45").select("object_id", (F.col("frame") * 4).alias("frame"))
+    return views.tracks(spark, d).filter("x is not null").select("object_id", (F.col("frame") * 8).alias("frame"))
 
 
 @query("SELECT object_id, frame, island FROM isl", TRK, _ISL)
@@ -347,18 +396,18 @@ def local_peaks(spark, d):
     "(SELECT object_id, max(frame) AS hi, row_number() OVER (PARTITION BY object_id ORDER BY max(frame)) AS k FROM isl GROUP BY object_id, island) a JOIN "
     "(SELECT object_id, min(frame) AS lo, row_number() OVER (PARTITION BY object_id ORDER BY min(frame)) AS k FROM isl GROUP BY object_id, island) b ON a.object_id = b.object_id AND b.k = a.k + 1) s "
     "ON s.object_id = p.object_id AND p.frame BETWEEN s.lo AND s.hi",
-    TRK, _ISL, "sparse2 AS (SELECT object_id, frame * 4 AS frame FROM trk WHERE x <= 45)",
+    TRK, _ISL, "sparse2 AS (SELECT object_id, frame * 8 AS frame FROM trk WHERE x IS NULL)",
 )
 def peaks_in_gaps(spark, d):
     s = ops.islands(_sparse(spark, d), 15, K).groupBy("object_id", "island").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
-    p = views.tracks(spark, d).filter("x <= 45").select("object_id", (F.col("frame") * 4).alias("frame"))
+    p = views.tracks(spark, d).filter("x is null").select("object_id", (F.col("frame") * 8).alias("frame"))
     return ops.peaks_in_gaps(s, p, 8, K)
 
 
-@query("SELECT object_id, frame, round(CASE WHEN frame >= 60 OR px IS NULL THEN x ELSE px END, 6) + 0.0 AS x FROM (SELECT *, lag(x) OVER (PARTITION BY object_id ORDER BY frame) AS px FROM trk)", TRK)
+@query("SELECT object_id, frame, round(CASE WHEN last OR px IS NULL THEN x ELSE px END, 6) + 0.0 AS x FROM (SELECT *, lag(x) OVER w AS px, lead(frame) OVER w IS NULL AS last FROM trk WINDOW w AS (PARTITION BY object_id ORDER BY frame))", TRK)
 def lagged_write_back(spark, d):
     t = views.tracks(spark, d).select("object_id", "frame", "x", "y")
-    return ops.shifted(t, t, 60, K).select("object_id", "frame", r6("x").alias("x"))
+    return ops.shifted(t, t, keys=K).select("object_id", "frame", r6("x").alias("x"))
 
 
 # Edits
@@ -374,9 +423,9 @@ def team_subset(spark, d):
     return edits.team(views.tracks(spark, d), 1, "team").groupBy("object_id").agg(F.min("team").alias("team"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 1 AS object_id, coalesce(a.frame, b.frame) AS frame, round(CASE WHEN a.x IS NOT NULL THEN a.x ELSE b.x END, 6) + 0.0 AS x FROM (SELECT * FROM trk WHERE object_id = 1) a FULL JOIN (SELECT * FROM trk WHERE object_id = 2) b ON a.frame = b.frame WHERE coalesce(a.frame, b.frame) <= 60", TRK)
+@query("SELECT 1 AS object_id, coalesce(a.frame, b.frame) AS frame, round(CASE WHEN a.x IS NOT NULL THEN a.x ELSE b.x END, 6) + 0.0 AS x FROM (SELECT * FROM trk WHERE object_id = 1) a FULL JOIN (SELECT * FROM trk WHERE object_id = 2) b ON a.frame = b.frame", TRK)
 def merge_players(spark, d):
-    m = edits.merge(views.tracks(spark, d).select("object_id", "frame", "x"), 1, 2, 60, "value")
+    m = edits.merge(views.tracks(spark, d).select("object_id", "frame", "x"), 1, 2, prefer="value")
     return m.select("object_id", "frame", r6("x").alias("x"))
 
 
@@ -446,6 +495,62 @@ def nearest_team(spark, d):
     return det.nearest_team(views.crops(spark, d), centres).select("vec_id", "team_id")
 
 
+@query(
+    "SELECT b.match_id::VARCHAR AS match_id, b.frame, round(b.frame / 24.0::DOUBLE, 6) + 0.0 AS time, round(b.x, 6) + 0.0 AS ball_x, CASE WHEN b.x IS NOT NULL AND b.y IS NOT NULL THEN round(b.y, 6) + 0.0 END AS ball_y, "
+    "coalesce(p.home, '') AS home, coalesce(p.away, '') AS away, p.x40 FROM typed b LEFT JOIN (SELECT match_id, frame, string_agg(object_id::VARCHAR, ' ' ORDER BY object_id::VARCHAR) FILTER (team < 1) AS home, "
+    "string_agg(object_id::VARCHAR, ' ' ORDER BY object_id::VARCHAR) FILTER (team >= 1) AS away, max(CASE WHEN object_id = 40 AND x IS NOT NULL AND y IS NOT NULL THEN round(x, 6) + 0.0 END) AS x40 FROM typed WHERE object_type <> 'ball' GROUP BY ALL) p USING (match_id, frame) WHERE b.object_type = 'ball'",
+    TRK, _TYPED,
+)
+def moments_with_ball(spark, d):
+    t = _typed(spark, d).withColumn("time", F.col("frame") / 24.0)
+    m = aggregates.moments(t.filter("object_type <> 'ball'").withColumn("team_id", F.col("team")), balls=t.filter("object_type = 'ball'"))
+    ids = lambda c: F.array_join(F.transform(c, lambda o: o["object_id"]), " ").alias(c)
+    ball, forty = aggregates.ball_loc(), aggregates.player_loc(40)
+    return m.select("match_id", "frame", r6("time").alias("time"), r6(F.col("ball.x")).alias("ball_x"), r6(ball["y"]).alias("ball_y"), ids("home"), ids("away"), r6(forty["x"]).alias("x40"))
+
+
+@query(
+    "SELECT f.match_id::VARCHAR AS match_id, f.frame, p.object_id::VARCHAR AS object_id, 'Player #' || p.object_id AS label, trunc(p.x)::INT AS label_x, trunc(p.y - 40)::INT AS label_y, p.team, trunc(b.x + 17)::INT AS ball_x, trunc(b.y + 10)::INT AS ball_y, round(b.x, 6) + 0.0 AS ball_pitch_x "
+    "FROM (SELECT match_id, unnest(range(1, count(*) FILTER (object_type = 'ball') + 1))::INT AS frame FROM typed GROUP BY match_id) f LEFT JOIN (SELECT * FROM typed WHERE object_type <> 'ball') p USING (match_id, frame) LEFT JOIN (SELECT * FROM typed WHERE object_type = 'ball') b USING (match_id, frame)",
+    TRK, _TYPED,
+)
+def render_records(spark, d):
+    t = _typed(spark, d)
+    r = aggregates.render_records(t, raw.match_length(t))
+    r = r.select("match_id", "frame", F.explode_outer("players").alias("p"), "ball", "ball_point")
+    return r.select("match_id", "frame", "p.object_id", "p.label", "p.label_x", "p.label_y", "p.team", F.col("ball.x1").alias("ball_x"), F.col("ball.y1").alias("ball_y"), r6("ball_point.x").alias("ball_pitch_x"))
+
+
+_SURE = "sure AS (SELECT * FROM box WHERE confidence >= 20000)"
+_PARTS = _NMS.replace("FROM box)", "FROM sure WHERE class_id <> 0)") + """,
+stay AS (SELECT frame, unnest(list_transform(kept, lambda k: k.id)) AS det_id FROM (SELECT frame, kept FROM n QUALIFY row_number() OVER (PARTITION BY frame ORDER BY i DESC) = 1)),
+obj AS (SELECT sure.*, (x1 + x2) / 2 AS ax, y2 AS ay FROM sure JOIN stay USING (frame, det_id)),
+mid AS (SELECT frame, team_id, avg(ax) AS cx, avg(ay) AS cy FROM obj WHERE class_id = 2 GROUP BY ALL),
+shown AS (SELECT obj.frame, CASE class_id WHEN 2 THEN 'player' WHEN 1 THEN 'goalkeeper' ELSE 'referee' END AS object_type,
+  CASE class_id WHEN 2 THEN obj.team_id WHEN 3 THEN 2 ELSE CASE WHEN sqrt((ax - a.cx) * (ax - a.cx) + (ay - a.cy) * (ay - a.cy)) < sqrt((ax - c.cx) * (ax - c.cx) + (ay - c.cy) * (ay - c.cy)) THEN 0 ELSE 1 END END AS team_id,
+  x1, y1, x2, y2, 2 * ax + 3 + obj.frame % 5 AS x, 0.5::DOUBLE * ay + 0.1::DOUBLE * ax AS y, CASE class_id WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS part, det_id
+  FROM obj LEFT JOIN mid a ON a.frame = obj.frame AND a.team_id = 0 LEFT JOIN mid c ON c.frame = obj.frame AND c.team_id = 1),
+ball AS (SELECT frame, x1 - 10 AS x1, y1 - 10 AS y1, x2 + 10 AS x2, y2 + 10 AS y2 FROM sure WHERE class_id = 0 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY det_id) = 1),
+shown2 AS (SELECT * FROM shown UNION ALL SELECT f.frame, 'ball', NULL, coalesce(x1, 0), coalesce(y1, 0), coalesce(x2, 0), coalesce(y2, 0),
+  CASE WHEN x1 IS NULL THEN 0 ELSE 2 * (x1 + x2) / 2 + 3 + f.frame % 5 END, CASE WHEN x1 IS NULL THEN 0 ELSE 0.5::DOUBLE * y2 + 0.1::DOUBLE * (x1 + x2) / 2 END, 3, NULL FROM (SELECT DISTINCT frame FROM box) f LEFT JOIN ball USING (frame))"""
+
+
+@query("SELECT (frame % 97)::VARCHAR AS match_id, frame::INT AS frame, object_type, team_id::INT AS team_id, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("x1", "y1", "x2", "y2", "x", "y")) + ", part::INT AS part, det_id::INT AS det_id FROM shown2", BOX, _SURE, _PARTS)
+def tracking_rows(spark, d):
+    """The whole tracking step; which track an object belongs to is left out, as SQL can't follow the tracker."""
+    b = views.boxes(spark, d).withColumn("match_id", (F.col("frame") % 97).cast("string")).withColumn("frame", F.col("frame").cast("int"))
+    pitch = [(1, 0.0, 0.0), (2, 1000.0, 0.0), (3, 0.0, 700.0), (4, 1000.0, 700.0), (5, 400.0, 300.0), (6, 1.0, 2.0)]
+    # the sixth point is wrong and unsure; the homography of a frame moves the others by its number
+    spots = F.explode(F.array(*(F.struct(F.lit(k).alias("vertex_idx"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.9 if k < 6 else 0.1).alias("confidence")) for k, x, y in pitch))).alias("s")
+    template = spark.createDataFrame([(k, 2 * x + 3, 0.5 * y + 0.1 * x) for k, x, y in pitch], "vertex_idx int, px double, py double")
+    shift = F.col("frame") % 5 / 2.0
+    keypoints = b.select("match_id", "frame").distinct().select("match_id", "frame", spots).select("match_id", "frame", "s.vertex_idx", (F.col("s.x") - shift).alias("x"), (F.col("s.y") + 0.2 * shift).alias("y"), "s.confidence")
+    teams = b.select("match_id", "frame", "det_id", "team_id")
+    config = det.TrackConfig(confidence=20000.0, activation=20000.0, iou=0.3, keep_referees=True)
+    rows = tracking.track_match(b.drop("team_id"), keypoints, template, config, teams)
+    return rows.select("match_id", "frame", "object_type", "team_id", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("x1", "y1", "x2", "y2", "x", "y")), "part", "det_id")
+
+
 # Without an oracle: iterative or seeded
 
 
@@ -473,3 +578,9 @@ def path_kernel(spark, d):
 def team_kmeans(spark, d):
     c = views.crops(spark, d)
     return det.nearest_team(c, det.fit_teams(c)).select("vec_id", "team_id")
+
+
+@query()
+def prominent_peaks(spark, d):
+    t = views.tracks(spark, d).select("object_id", "frame", "x")
+    return ops.peaks(t, "x", 5, 20.0, K).select("object_id", "frame", r6("x").alias("x"))

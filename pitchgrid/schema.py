@@ -5,6 +5,7 @@ TRACKS = (
     "x1 double, y1 double, x2 double, y2 double, x double, y double, src_row long"
 )
 OBJECTS = "match_id string, object_id string, object_type string, team_label string, name string, ord int"
+MATCHES = "match_id string, fps double, width int, height int, n_frames long"
 DETECTIONS = "match_id string, frame int, det_id int, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double"
 KEYPOINTS = "match_id string, frame int, vertex_idx int, x double, y double, confidence double"
 PITCH = "vertex_idx int, px double, py double"

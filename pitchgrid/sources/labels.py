@@ -64,6 +64,15 @@ def previous_best(spark: SparkSession, text: str | None) -> float:
         return float("-inf")
 
 
+def read_previous_best(spark: SparkSession, path: str) -> float:
+    """Best score of a meta.json; minus infinity where the file is missing, empty or damaged."""
+    if first_existing(spark, [path]) is None:
+        return float("-inf")
+    rows = spark.read.schema("best_score double, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    best = rows.agg(F.max("best_score")).first()[0]
+    return float("-inf") if best is None else best
+
+
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     """The first path that exists in the store it names."""
     for p in paths:

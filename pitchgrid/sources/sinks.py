@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RAW_HEADER = "Frame,Object,Object ID,Team,X1,Y1,X2,Y2,X_Pitch,Y_Pitch"
+# Header lines of the tracking formats, with the names that they repeat.
+RAW_HEADER = "Frame,Object,Object ID,Team,X1,Y1,X2,X2,X_Pitch,Y_Pitch"
+TRACKER_HEADER = "Frame,Object,Object ID,Team,X1,Y1,X1,X2,X_Pitch,Y_Pitch"
 
 
 def _text(c: str, missing: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(missing))
 
 
-def raw_lines(tracks: DataFrame, objects: DataFrame, missing: str = "0") -> DataFrame:
+def raw_lines(tracks: DataFrame, objects: DataFrame, missing: str = "") -> DataFrame:
     """(match_id, frame, ord, line): by frame, players in order, then the ball. The first row per object and frame
     counts; teams are the objects'. A missing point is written as ``missing``, so that reading it gives NULL again."""
     from pitchgrid.sources.raw import keep_first
@@ -30,28 +32,19 @@ def raw_lines(tracks: DataFrame, objects: DataFrame, missing: str = "0") -> Data
     return named.select("match_id", "frame", F.when(ball, F.lit(2_147_483_647)).otherwise(F.coalesce("ord", F.lit(2_147_483_646))).alias("ord"), F.concat_ws(",", *parts).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str, header: str = RAW_HEADER, single: bool = False) -> None:
-    """Text files in total order, one folder per match; ``single``: one file a match, each in one task."""
+def write_lines(lines: DataFrame, path: str, header: str | None = RAW_HEADER, single: bool = False) -> None:
+    """Text files in total order, one folder per match; ``single``: one file a match, each in one task, that begins with
+    ``header`` (None: the lines hold their own)."""
     if single:
-        ordered = lines.repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
         # a match is one task's, so the header can go before its first line
-        heads = lines.select("match_id").distinct().select("match_id", F.lit(-1).alias("frame"), F.lit(-1).alias("ord"), F.lit(header).alias("line"))
-        ordered = lines.select("match_id", "frame", "ord", "line").unionByName(heads).repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
+        ordered = lines.select("match_id", "frame", "ord", "line")
+        if header is not None:
+            ordered = ordered.unionByName(lines.select("match_id").distinct().select("match_id", F.lit(-1).alias("frame"), F.lit(-1).alias("ord"), F.lit(header).alias("line")))
+        ordered = ordered.repartition("match_id").sortWithinPartitions("match_id", "frame", "ord")
         ordered.select("match_id", "line").write.partitionBy("match_id").text(path)
     else:
         lines.repartitionByRange("match_id", "frame", "ord").sortWithinPartitions("match_id", "frame", "ord").select("match_id", "line").write.partitionBy("match_id").text(path)
 
 
-def wide_lines(wide: DataFrame, object_ids: list[str], seconds_per_frame: float = 0.04) -> DataFrame:
-    """(frame, line) of the wide format from pivot_wide's columns: period 1, time by frame, the ball last."""
-    pairs = [F.col(f"`{a}_{i}`").cast("string") for i in [*(o for o in object_ids if o != "ball"), *(["ball"] if "ball" in object_ids else [])] for a in "xy"]
-    return wide.select("frame", F.concat_ws(",", F.lit("1"), F.col("frame").cast("string"), (F.col("frame") * seconds_per_frame).cast("string"), *pairs).alias("line"))
-
-
-def wide_header(objects: list[tuple[str, str, str]]) -> list[str]:
-    """The three header rows for (team, id, name) of each object in order, the ball named Ball last."""
-    return [",,," + ",".join(f"{o[k]}," for o in objects) for k in (0, 1)] + ["Period,Frame,Time [s]," + ",".join(f"{o[2]}," for o in objects)]
-
-
 def champion_record(champions: DataFrame, path: str) -> None:
     champions.write.mode("overwrite").json(path)

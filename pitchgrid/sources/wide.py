@@ -33,7 +33,8 @@ def parse_wide(files: DataFrame) -> DataFrame:
         *(blank.alias(k) for k in ("x1", "y1", "x2", "y2")),
         F.when(~gone, xp.try_cast("double")).alias("x"),
         F.when(~gone, yp.try_cast("double")).alias("y"),
-        (F.col("_no") * 10_000 + F.col("i")).cast("long").alias("src_row"),
+        (F.col("_no").cast("long") * 1_000_000 + F.col("i")).alias("src_row"),
+        F.when(~ball, F.get("names", F.col("i"))).alias("name"),
     )
 
 
@@ -41,13 +42,43 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
     return parse_wide(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("match_id"), "value"))
 
 
-def pivot_wide(tracks: DataFrame, object_ids: list[str], keys: tuple[str, ...] = ("frame",), key: str = "object_id") -> DataFrame:
-    """One row per frame with x_<id> and y_<id> of the given objects, the first row of each; 0 where missing.
+def objects_of(tracks: DataFrame) -> DataFrame:
+    """Players with team, name and place among the columns, from parsed rows."""
+    from pitchgrid.sources.raw import objects_of as by_first_row
 
-    The ids are given, so that Spark needn't run the query once more to find them."""
-    firsts = []
-    for i in object_ids:
-        hit = F.col(key).cast("string") == str(i)
-        first = F.min_by(F.when(hit, F.struct("x", "y")), F.when(hit, F.col("src_row")))
-        firsts += [F.coalesce(first["x"], F.lit(0.0)).alias(f"x_{i}"), F.coalesce(first["y"], F.lit(0.0)).alias(f"y_{i}")]
-    return tracks.groupBy(*keys).agg(*firsts)
+    names = tracks.filter("object_type <> 'ball'").groupBy("match_id", "object_id").agg(F.min_by("name", "src_row").alias("name"))
+    return by_first_row(tracks).drop("name").join(names, ["match_id", "object_id"], "left").select("match_id", "object_id", "object_type", "team_label", "name", "ord")
+
+
+def wide_rows(tracks: DataFrame, objects: DataFrame, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """A row per match and frame from 1 to the last that any of its rows has: ``cells``, a struct (x, y) for each of the
+    match's objects in order, then the ball; NULL where missing. The first row of an object and frame counts.
+
+    A match's objects are data, not columns, so matches with any objects go through one plan."""
+    ball = F.col("object_type") == "ball"
+    ident = F.when(~ball, F.col("object_id").cast("string"))
+    first = tracks.groupBy(*keys, "frame", ident.alias("_id")).agg(F.min_by(F.struct("x", "y"), "src_row").alias("_at"))
+    entry = F.struct(F.coalesce("_id", F.lit("ball:")).alias("key"), "_at")
+    by_frame = first.groupBy(*keys, "frame").agg(F.map_from_entries(F.collect_list(entry)).alias("_seen"))
+    frames = by_frame.groupBy(*keys).agg(F.max("frame").alias("_n"))
+    spine = frames.select(*keys, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_n").cast("int")))).alias("frame"))
+    order = objects.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("object_id").cast("string").alias("id")))), lambda o: o["id"]).alias("_order"))
+    rows = spine.join(by_frame, [*keys, "frame"], "left").join(order, list(keys), "left")
+    ids = F.concat(F.coalesce("_order", F.array().cast("array<string>")), F.array(F.lit("ball:")))
+    return rows.select(*keys, "frame", F.transform(ids, lambda i: F.col("_seen")[i]).alias("cells"))
+
+
+def wide_lines(tracks: DataFrame, objects: DataFrame, seconds_per_frame: float = 0.04, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """(keys, frame, ord, line) of the wide format: three header lines (frame 0: teams, ids, names with the ball last),
+    then period 1, the frame, its time and a pair per object, 0 and 0 where missing."""
+    cell = lambda c: F.when(c["x"].isNotNull() & c["y"].isNotNull(), F.concat_ws(",", c["x"].cast("string"), c["y"].cast("string"))).otherwise(F.lit("0,0"))
+    rows = wide_rows(tracks, objects, keys)
+    start = F.concat_ws(",", F.lit("1"), F.col("frame").cast("string"), (F.col("frame") * seconds_per_frame).cast("string"))
+    rows = rows.select(*keys, "frame", F.lit(0).alias("ord"), F.concat(start, F.lit(","), F.array_join(F.transform("cells", cell), ",")).alias("line"))
+    matches = tracks.select(*keys).distinct()
+    listed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.col("team_label").cast("string"), F.lit("")).alias("t"), F.col("object_id").cast("string").alias("i"), F.coalesce("name", F.lit("")).alias("n"))))
+    heads = matches.join(objects.groupBy(*keys).agg(listed.alias("o")), list(keys), "left").withColumn("o", F.coalesce("o", F.slice(F.array(F.struct(F.lit(0).alias("ord"), *(F.lit("").alias(k) for k in "tin"))), 1, 0)))
+    text = lambda first, field, last: F.concat(F.lit(first), F.array_join(F.concat(F.transform("o", lambda x: x[field]), F.array(F.lit(last))), ",,"), F.lit(","))
+    lines = F.array(text(",,,", "t", ""), text(",,,", "i", ""), text("Period,Frame,Time [s],", "n", "Ball"))
+    heads = heads.select(*keys, F.lit(0).alias("frame"), F.posexplode(lines).alias("ord", "line"))
+    return heads.unionByName(rows)

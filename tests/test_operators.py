@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitchgrid.functions import geometry as g
 from pitchgrid.match import Match
 from pitchgrid.operators import aggregates, detections as det, edits, homography, kernel, tracker, tracks as ops
-from pitchgrid.sources import labels, raw, sinks, wide
+from pitchgrid.sources import labels, raw, sinks
 
 K = ("object_id",)
 
@@ -40,10 +40,9 @@ def test_lone_points(spark):
     assert {r["frame"] for r in ops.lone_points(t, 200, K).collect()} == {2, 4, 5}
 
 
-@pytest.mark.parametrize("native", [None, 1])
-def test_chain_filter(spark, native):
+def test_chain_filter(spark):
     t = track(spark, [None, 100.0, 3000.0, 2050.0, 3000.0], [None, 100.0, 100.0, 100.0, 100.0])
-    kept = ops.chain_filter(t, 2000, K, max_native=native)
+    kept = ops.chain_filter(t, 2000, K)
     assert {r["frame"] for r in kept.collect()} == {2, 4, 5}
     assert {r["frame"] for r in ops.chain_filter(kept, 2000, K).collect()} == {2, 4, 5}
 
@@ -98,9 +97,20 @@ def test_homography():
     x, y = rng.uniform(0, 100, (2, 8))
     w = h[2, 0] * x + h[2, 1] * y + 1
     px, py = (h[0, 0] * x + h[0, 1] * y + h[0, 2]) / w, (h[1, 0] * x + h[1, 1] * y + h[1, 2]) / w
-    assert np.allclose(np.array(homography.solve(x, y, px, py)).reshape(3, 3), h, atol=1e-6)
-    assert homography.solve(x[:3], y[:3], px[:3], py[:3]) is None
-    assert homography.solve(np.ones(5), np.ones(5), np.ones(5), np.ones(5)) is None
+    both = np.column_stack([x, y, px, py])
+    for n in (4, 5, 8):
+        got, good = homography.solve(np.stack([both[:n], np.ones((n, 4)), both[:n] + 1]))
+        assert np.allclose(got[0].reshape(3, 3), h, atol=1e-6) and good.tolist() == [True, False, True]
+    assert not homography.solve(both[None, :3])[1].any()
+
+
+def test_homography_fit(spark):
+    corners = [(0.0, 0.0), (10.0, 0.0), (0.0, 7.0), (10.0, 7.0), (3.0, 2.0)]
+    rows = [(f, x, y, 2 * x + f, 3 * y) for f in (1, 2) for x, y in corners[: 3 + f]] + [(3, x, y, x, y) for x, y in corners[:3]] + [(4, None, 1.0, 1.0, 1.0)]
+    got = {r["frame"]: r["h"] for r in homography.fit(spark.createDataFrame(rows, "frame int, x double, y double, px double, py double"), ("frame",)).collect()}
+    assert got[3] is None and got[4] is None
+    for f in (1, 2):
+        assert np.allclose(got[f], [2, 0, f, 0, 3, 0, 0, 0, 1], atol=1e-9)
 
 
 def test_tracker_keeps_identities():
@@ -142,7 +152,7 @@ RAW = """Frame,Object,Object ID,Team,X1,Y1,X1,X2,X_Pitch,Y_Pitch
 def test_raw_round_trip(spark, tmp_path):
     (tmp_path / "m1.csv").write_text(RAW)
     m = Match.read_raw(spark, str(tmp_path))
-    assert m.frames == 2
+    assert m.lengths.first()["n_frames"] == 2
     assert {(r["object_id"], r["team_label"], r["ord"]) for r in m.objects.collect()} == {("4", "0", 1), ("7", "1", 2)}
     at = {(r["object_id"], r["frame"]): r["x"] for r in m.tracks.collect()}
     assert at[("7", 2)] == 0.0 and at[("ball", 2)] is None
@@ -155,6 +165,18 @@ def test_raw_round_trip(spark, tmp_path):
     assert m.remove_player("7").objects.count() == 1
     moments = {r["frame"]: r for r in m.each_moment()}
     assert [o["object_id"] for o in moments[1]["home"]] == ["4"] and [o["object_id"] for o in moments[2]["away"]] == ["7"]
+    assert moments[1]["ball"]["x"] == 2500.0 and moments[1]["time"] == 1 / 24
+    places = {r["frame"]: (r["p"], r["b"]) for r in m.moments().select("frame", aggregates.player_loc(4).alias("p"), aggregates.ball_loc().alias("b")).collect()}
+    assert tuple(places[1][0]) == (1500.0, 2000.0) and tuple(places[1][1]) == (2500.0, 2200.0) and places[2] == (None, None)
+    text = [r["line"] for r in m.export_lines().orderBy("frame", "ord").collect()]
+    assert text[0] == "1,player,4,0,100.0,50.0,120.0,110.0,1500.0,2000.0" and text[-1] == "2,ball,0,0,,,,,,"
+    drawn = {r["frame"]: r for r in m.render_records().collect()}
+    assert [(p["label"], p["label_x"], p["label_y"], p["team"]) for p in drawn[1]["players"]] == [("Player #4", 100, 10, 0), ("Player #7", 300, 20, 1)]
+    assert (drawn[1]["ball"]["x1"], drawn[1]["ball"]["y1"]) == (217, 100) and [tuple(p)[1:] for p in drawn[1]["away_points"]] == [(4000.0, 2500.0)]
+    more = m.add_frames(m.ball.filter("frame = 1").withColumn("frame", F.lit(3)))
+    assert more.frame(3).first()["x"] == 2500.0 and more.ball.count() == 3
+    m.export(str(tmp_path / "again"))
+    assert next((tmp_path / "again" / "match_id=m1").glob("part-*")).read_text().startswith(sinks.RAW_HEADER)
 
 
 WIDE = ",,,Home,,Home,,,\n,,,11,,1,,,\nPeriod,Frame,Time [s],Player11,,Player1,,Ball,\n1,1,0.04,0.10,0.20,0,0,0.50,0.50\n1,2,0.08,0.11,0.21,0.30,0.40,0,0\n"
@@ -165,9 +187,12 @@ def test_wide(spark, tmp_path):
     m = Match.read_wide(spark, str(tmp_path))
     at = {(r["object_id"], r["frame"]): r["x"] for r in m.tracks.collect()}
     assert at == {("11", 1): 0.1, ("11", 2): 0.11, ("1", 1): None, ("1", 2): 0.3, ("ball", 1): 0.5, ("ball", 2): None}
-    w = wide.pivot_wide(m.tracks, ["11", "1", "ball"])
-    lines = [r["line"] for r in sinks.wide_lines(w, ["11", "1", "ball"]).orderBy("frame").collect()]
-    assert lines[0] == "1,1,0.04,0.1,0.2,0.0,0.0,0.5,0.5"
+    lines = [r["line"] for r in m.export_lines().orderBy("frame", "ord").collect()]
+    assert lines == WIDE.replace("0.10,0.20", "0.1,0.2").replace("0.50,0.50", "0.5,0.5").replace("0.30,0.40", "0.3,0.4").strip().split("\n")
+    m.export(str(tmp_path / "out"))
+    back = Match.read_wide(spark, str(tmp_path / "out" / "match_id=w"))
+    assert {(r["object_id"], r["frame"]): r["x"] for r in back.tracks.collect()} == at
+    assert [(r["object_id"], r["team_label"], r["name"], r["ord"]) for r in back.objects.orderBy("ord").collect()] == [("11", "Home", "Player11", 1), ("1", "Home", "Player1", 2)]
 
 
 def test_label_files(spark, tmp_path):
