@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import math
+import mmap
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -143,13 +144,22 @@ def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[list[
 
 #: Glibc's way to give freed memory back to the system; other C libraries have none.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Bytes that a worker may hold on to: its libraries alone take nearly as much.
+_KEPT = 160 << 20
 
 
 def give_back() -> None:
-    """Gives freed memory of this process back to the system: workers live on from stage to stage."""
-    gc.collect()
-    if _TRIM:
-        _TRIM(0)
+    """Gives freed memory of this process back to the system where it holds much: workers live on from stage to stage."""
+    try:
+        with open("/proc/self/statm") as f:
+            fields = f.read().split()
+    except OSError:  # no such file system
+        return
+    # resident pages less those shared with files
+    if (int(fields[1]) - int(fields[2])) * mmap.PAGESIZE > _KEPT:
+        gc.collect()
+        if _TRIM:
+            _TRIM(0)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

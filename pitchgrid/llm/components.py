@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pitchgrid.llm.common import Scratch, lean, partitions
@@ -57,11 +57,6 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], ["a", "b"])
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("s")).first()
-    return r["n"], r["x"], r["s"]
-
-
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> DataFrame:
     """``edges`` (a, b): longs. One row per linked node: ``id`` and ``component``, the least id reachable from it.
 
@@ -73,23 +68,28 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> Da
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     state = None
     for _ in range(most_rounds):
-        before = edges
-        edges = scratch.write(before.repartition(n, "a").mapInArrow(lean(_merge), "a long, b long"))
+        before, seen = edges, Observation()
+        merged = before.repartition(n, "a").mapInArrow(lean(_merge), "a long, b long")
+        # what a round has made is told by the job that writes it
+        merged = merged.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("s"))
+        edges = scratch.write(merged)
         scratch.release(before)
-        now = _state(edges)
+        now = tuple(seen.get[k] for k in "nxs")
         if now == state or not now[0]:
             break
         state = now
     else:
         raise RuntimeError("the components haven't settled")
     for _ in range(most_rounds):
-        up = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        if not now[0]:
+            break
+        up, seen = edges.select(F.col("a").alias("b"), F.col("b").alias("c")), Observation()
         jumped = edges.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved"))
-        jumped = scratch.write(jumped)
+        jumped = scratch.write(jumped.observe(seen, F.count_if("moved").alias("moved")))
         scratch.release(edges)
         edges = jumped.select("a", "b")
         edges._scratch = jumped._scratch
-        if jumped.filter("moved").isEmpty():
+        if not seen.get["moved"]:
             break
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
