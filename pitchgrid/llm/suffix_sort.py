@@ -1,11 +1,15 @@
 """External induced sorting of suffixes with common-prefix values.
 
-All suffixes of a text are sorted from a few seeds: the S* suffixes (smaller than their successor, with a larger
-predecessor) are sorted by content, recursively by the next bytes where they tie; then the larger (L) suffixes are
-induced from left to right and the smaller (S) ones from right to left. Induction runs on priority queues, one run of
-suffix tuples (position, common prefix with the tuple before) for each first byte: tuples enter in the order of the
-suffix that induces them, so a queue is read as it was written, and what exceeds the memory goes to disk. The common
+All suffixes of a text are sorted from a few seeds, the S* suffixes (smaller than their successor, with a larger
+predecessor). Seeds are ranked by names: the pieces of text from seed to seed are sorted and named, and the reduced
+string of names is sorted in turn, each round naming pairs of the names before, until names differ or reach the depth
+asked for. Then the larger (L) suffixes are induced from left to right and the smaller (S) ones from right to left.
+Induction runs on priority queues, one run of suffix tuples (position, common prefix with the tuple before) for each
+first byte: tuples enter in the order of the suffix that induces them, so a queue is read as it was written. The common
 prefix of two neighbours in a queue is one more than the least on the way between their inducing suffixes.
+
+Nothing of the text's size need be in memory: text, types, names and seeds are arrays of a ``Store``, which maps them
+from files beyond its memory, they are sorted by runs and ranges, and queues spill.
 """
 
 from __future__ import annotations
@@ -16,6 +20,106 @@ from collections.abc import Iterator
 import numpy as np
 
 _BLOCK = 1 << 16
+#: Pieces of text are eight bytes long at most, so that a number holds one.
+_STEP = 7
+
+
+class Store:
+    """Arrays of one sort: in memory up to ``memory`` bytes in all, beyond that mapped from files without a name."""
+
+    def __init__(self, memory: int):
+        self.memory = self.left = memory
+        self.on_disk = 0
+
+    def array(self, n: int, kind) -> np.ndarray:
+        """An array of zeros."""
+        size = n * np.dtype(kind).itemsize
+        if size <= self.left or not n:
+            self.left -= size
+            return np.zeros(n, kind)
+        self.on_disk += size
+        with tempfile.TemporaryFile() as f:
+            f.truncate(size)
+            return np.memmap(f, kind, "r+", shape=(n,))
+
+    def done(self, *arrays: np.ndarray) -> None:
+        """The caller drops these arrays."""
+        self.left += sum(x.nbytes for x in arrays if not isinstance(x, np.memmap))
+
+    def where(self, flags: np.ndarray, kind=np.int64) -> np.ndarray:
+        """The places of true flags."""
+        out = self.array(sum(int(np.count_nonzero(flags[a : a + _BLOCK])) for a in range(0, len(flags), _BLOCK)), kind)
+        at = 0
+        for a in range(0, len(flags), _BLOCK):
+            got = np.flatnonzero(flags[a : a + _BLOCK]) + a
+            out[at : at + len(got)] = got
+            at += len(got)
+        return out
+
+
+class Spool:
+    """Numbers of one kind that are appended and then read as an array of a store."""
+
+    def __init__(self, kind, memory: int):
+        self.kind, self.memory, self.held, self.n, self.blocks, self.file = np.dtype(kind), memory, 0, 0, [], None
+
+    def add(self, x: np.ndarray) -> None:
+        self.blocks.append(np.ascontiguousarray(x, self.kind))
+        self.held += self.blocks[-1].nbytes
+        self.n += len(x)
+        if self.held > self.memory:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        for x in self.blocks:
+            self.file.write(x.tobytes())
+        self.blocks, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        if not self.file:
+            return np.concatenate([np.zeros(0, self.kind), *self.blocks])
+        self._spill()
+        self.file.flush()
+        with self.file as f:
+            return np.memmap(f, self.kind, "r+", shape=(self.n,))
+
+
+def sorted_places(keys: np.ndarray, store: Store) -> np.ndarray:
+    """The places of unsigned 64-bit keys in ascending order, stable: runs are sorted, then ranges of keys merged."""
+    n, run = len(keys), max(1 << 12, store.memory // 64)
+    if n <= run:
+        return np.argsort(keys, kind="stable")
+    by_run, places = store.array(n, np.uint64), store.array(n, np.int64)
+    cuts = list(range(0, n, run))
+    probes = []
+    for a in cuts:
+        part = np.asarray(keys[a : a + run])
+        order = np.argsort(part, kind="stable")
+        by_run[a : a + run], places[a : a + run] = part[order], order + a
+        probes.append(by_run[a : a + run][:: max(1, run // 64)])
+    # ranges between probes, and the probes themselves: a key that recurs often has a range of its own
+    probe = np.unique(np.sort(np.concatenate(probes))[:: max(1, 32)])
+    edges = []
+    for a in cuts:
+        part = by_run[a : a + run]
+        both = np.stack([np.searchsorted(part, probe, "left"), np.searchsorted(part, probe, "right")], 1).ravel()
+        edges.append(np.concatenate([[0], both, [len(part)]]) + a)
+    out = store.array(n, np.int64)
+    at = 0
+    for k in range(2 * len(probe) + 1):
+        slices = [(int(e[k]), int(e[k + 1])) for e in edges if e[k + 1] > e[k]]
+        size = sum(b - a for a, b in slices)
+        if k % 2:  # equal keys: runs one after the other are in order
+            for a, b in slices:
+                out[at : at + b - a] = places[a:b]
+                at += b - a
+        elif size:
+            got = np.concatenate([places[a:b] for a, b in slices])
+            out[at : at + size] = got[np.argsort(np.concatenate([by_run[a:b] for a, b in slices]), kind="stable")]
+            at += size
+    store.done(by_run, places)
+    return out
 
 
 class DiskQueues:
@@ -56,8 +160,9 @@ class DiskQueues:
         while run:
             now, self.blocks[key] = run, []
             held, size = [], 0
-            for block in now:
+            for k, block in enumerate(now):
                 got = self._load(block)
+                now[k] = None
                 if len(block) == 2:
                     self.held -= got[0].nbytes + got[1].nbytes
                 held.append(got)
@@ -72,7 +177,8 @@ class DiskQueues:
     def take_back(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks from the last to the first."""
         run, self.blocks[key] = self.blocks[key], []
-        for block in reversed(run):
+        while run:
+            block = run.pop()
             got = self._load(block)
             if len(block) == 2:
                 self.held -= got[0].nbytes + got[1].nbytes
@@ -86,15 +192,15 @@ class DiskQueues:
 class _Induction:
     """Pushes what a scanned run of suffixes induces, with common prefixes by least-on-the-way."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: DiskQueues, cap: int):
-        self.text, self.wanted, self.queues, self.cap = text, wanted, queues, cap
+    def __init__(self, text: np.ndarray, small: np.ndarray, wanted: bool, queues: DiskQueues, cap: int):
+        self.text, self.small, self.wanted, self.queues, self.cap = text, small, wanted, queues, cap
         self.pending = np.full(256, 255, np.uint8)
         self.fresh = np.ones(256, bool)
 
     def scan(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         m = len(pos)
         before = pos - 1
-        at = np.flatnonzero((pos > 0) & self.wanted[before])
+        at = np.flatnonzero((pos > 0) & (self.small[before] == self.wanted))
         low = lcp.min()
         if not len(at):
             np.minimum(self.pending, low, out=self.pending)
@@ -137,18 +243,32 @@ class _Induction:
         begin = 0
         moved, value = before[j], value.astype(np.uint8)
         for k, end in zip(heads.tolist(), ends, strict=True):
-            self.queues.push(k, moved[begin:end], value[begin:end])
+            # copies: a slice would keep its whole block in memory
+            self.queues.push(k, moved[begin:end].copy(), value[begin:end].copy())
             begin = end
 
 
-def _eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as a big-endian number; beyond the end, zeros."""
-    key = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        p = at + j
-        ok = p < len(text)
-        key = (key << np.uint64(8)) | np.where(ok, text[np.minimum(p, len(text) - 1)], 0).astype(np.uint64)
-    return key
+class _Eight:
+    """Eight bytes of a text from each position as a big-endian number; beyond the end, zeros."""
+
+    def __init__(self, text: np.ndarray):
+        self.n = max(0, len(text) - 7)
+        self.words = np.ndarray((self.n,), ">u8", buffer=text, strides=(1,)) if self.n else None
+        self.tail = np.concatenate([text[self.n :], np.zeros(16, np.uint8)])
+
+    def at(self, pos: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pos), np.uint64)
+        inner = pos < self.n
+        if self.n and inner.all():
+            return self.words[pos].astype(np.uint64)
+        if self.n:
+            out[inner] = self.words[pos[inner]]
+        rest = np.minimum(pos[~inner] - self.n, 8)
+        key = np.zeros(len(rest), np.uint64)
+        for j in range(8):
+            key = (key << np.uint64(8)) | self.tail[rest + j].astype(np.uint64)
+        out[~inner] = key
+        return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,47 +279,110 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n
 
 
-def _order_seeds(text: np.ndarray, pos: np.ndarray, cap: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The positions sorted by up to ``cap`` bytes, and each one's common prefix with the one before (0 for the first)."""
-    key = _eight(text, pos + depth)
-    order = np.argsort(key, kind="stable")
-    pos, key = pos[order], key[order]
-    lcp = np.zeros(len(pos), np.int64)
-    lcp[1:] = depth + _common(key[1:], key[:-1])
-    if depth + 8 >= cap or len(pos) < 2:
-        return pos, np.minimum(lcp, cap)
-    same = np.zeros(len(pos) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    tied = same[:-1] | same[1:]
-    if tied.any():
-        # one more level for all ties at once: the group comes first, the next bytes second
-        at = np.flatnonzero(tied)
-        group = np.cumsum(~same[:-1])[at]
-        pos[at], lcp_in = _order_groups(text, pos[at], group, cap, depth + 8)
-        inner = same[:-1][at]
-        lcp[at[inner]] = lcp_in[inner]
-    return pos, np.minimum(lcp, cap)
-
-
-def _order_groups(text: np.ndarray, pos: np.ndarray, group: np.ndarray, cap: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _order_seeds within each group of positions that agree in ``depth`` bytes."""
-    key = _eight(text, pos + depth)
-    order = np.lexsort((key, group))
-    pos, key = pos[order], key[order]
-    lcp = np.full(len(pos), depth, np.int64)
-    lcp[1:] += _common(key[1:], key[:-1])
-    if depth + 8 >= cap:
-        return pos, lcp
-    same = np.zeros(len(pos) + 1, bool)
-    same[1:-1] = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
-    tied = same[:-1] | same[1:]
-    if tied.any():
-        at = np.flatnonzero(tied)
-        deeper = np.cumsum(~same[:-1])[at]
-        pos[at], lcp_in = _order_groups(text, pos[at], deeper, cap, depth + 8)
-        inner = same[:-1][at]
-        lcp[at[inner]] = lcp_in[inner]
-    return pos, lcp
+def _types(text: np.ndarray, store: Store) -> np.ndarray:
+    """Whether each suffix is smaller than its successor; at the end, a suffix is larger."""
+    n = len(text)
+    small = store.array(n, bool)
+    carry = False
+    for b in range(n, 0, -(4 * _BLOCK)):
+        a = max(0, b - 4 * _BLOCK)
+        part = text[a : min(n, b + 1)].astype(np.int16)
+        step = np.sign(np.diff(part))
+        if b == n:
+            step = np.concatenate([step, [-1]])
+        m = len(step)
+        # the next place where the byte changes decides, beyond the block what was found there
+        nxt = np.where(step != 0, np.arange(m), m)
+        nxt = np.minimum.accumulate(nxt[::-1])[::-1]
+        small[a:b] = np.concatenate([step > 0, [carry]])[nxt]
+        carry = bool(small[a])
+    return small
+
+
+def _ranked_seeds(text: np.ndarray, small: np.ndarray, cap: int, store: Store, kind) -> np.ndarray:
+    """The S* positions in the order of their suffixes, to a depth of ``cap`` bytes."""
+    n, eight = len(text), _Eight(text)
+    flags = store.array(n, bool)
+    for a in range(1, n, _BLOCK):
+        b = min(n, a + _BLOCK)
+        flags[a:b] = small[a:b] & ~small[a - 1 : b - 1]
+    stars = store.where(flags, kind)
+    if not len(stars):
+        return stars
+    # samples: the seeds, and every seventh place between distant ones; a piece goes from a sample through the next one
+    extra = lambda a: (np.append(stars[a + 1 : a + _BLOCK + 1], n if a + _BLOCK >= len(stars) else [])[: len(stars[a : a + _BLOCK])] - stars[a : a + _BLOCK] - 1) // _STEP
+    total = sum(int(extra(a).sum()) + len(stars[a : a + _BLOCK]) for a in range(0, len(stars), _BLOCK))
+    samples, is_star = store.array(total, kind), store.array(total, bool)
+    at = 0
+    for a in range(0, len(stars), _BLOCK):
+        part, many = stars[a : a + _BLOCK], extra(a).astype(np.int64) + 1
+        first = np.cumsum(many) - many
+        inner = np.arange(int(many.sum())) - np.repeat(first, many)
+        samples[at : at + len(inner)] = np.repeat(part, many) + inner * _STEP
+        is_star[at : at + len(inner)] = inner == 0
+        at += len(inner)
+    keys = store.array(total, np.uint64)
+    for a in range(0, total, _BLOCK):
+        pos = np.asarray(samples[a : a + _BLOCK]).astype(np.int64)
+        after = np.append(samples[a + 1 : a + _BLOCK + 1], np.full(int(a + _BLOCK >= total), n + 8)).astype(np.int64)
+        # beyond the next sample nothing counts: there, a piece that ends is larger than one that goes on
+        size = np.minimum(8, after - pos + 1)
+        fill = np.where(size < 8, np.uint64(2**64 - 1) >> (8 * np.minimum(size, 7)).astype(np.uint64), np.uint64(0))
+        keys[a : a + _BLOCK] = eight.at(pos) | fill
+    order = sorted_places(keys, store)
+    # names: the first rank of equal pieces
+    names, tied = store.array(total, np.uint32), store.array(total, bool)
+    _name(lambda a, b: keys[order[a:b]], lambda a, b: order[a:b], total, lambda a, b: np.arange(a, b), names, tied)
+    store.done(keys)
+    reach = 1
+    while 2 * reach < cap:
+        places = store.where(tied)
+        m = len(places)
+        if not m:
+            break
+        pairs, who = store.array(m, np.uint64), store.array(m, np.int64)
+        for a in range(0, m, _BLOCK):
+            idx = order[places[a : a + _BLOCK]]
+            then = idx + reach
+            second = np.where(then < total, names[np.minimum(then, total - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            pairs[a : a + _BLOCK] = (names[idx].astype(np.uint64) << np.uint64(32)) | second
+            who[a : a + _BLOCK] = idx
+        again = sorted_places(pairs, store)
+        for a in range(0, m, _BLOCK):
+            order[places[a : a + _BLOCK]] = who[again[a : a + _BLOCK]]
+        _name(lambda a, b, p=pairs, g=again: p[g[a:b]], lambda a, b, w=who, g=again: w[g[a:b]], m, lambda a, b, q=places: q[a:b], names, tied)
+        store.done(places, pairs, who, again)
+        reach *= 2
+    out = store.array(len(stars), kind)
+    at = 0
+    for a in range(0, total, _BLOCK):
+        idx = order[a : a + _BLOCK]
+        got = samples[idx[is_star[idx]]]
+        out[at : at + len(got)] = got
+        at += len(got)
+    store.done(flags, stars, samples, is_star, names, tied)
+    return out
+
+
+def _name(key, who, n: int, rank, names: np.ndarray, tied: np.ndarray) -> None:
+    """Names of items in the order of their keys: the rank of the first equal one. Items and ranks are read by ranges."""
+    last, name = None, 0
+    for a in range(0, n, _BLOCK):
+        b = min(n, a + _BLOCK)
+        ahead = key(a, min(n, b + 1))
+        now = ahead[: b - a]
+        new = np.ones(b - a, bool)
+        new[1:] = now[1:] != now[:-1]
+        new[0] = last is None or now[0] != last
+        ranks = np.asarray(rank(a, b))
+        own = np.where(new, ranks, -1)
+        own[0] = ranks[0] if new[0] else name
+        own = np.maximum.accumulate(own)
+        names[who(a, b)] = own
+        follows = np.zeros(b - a, bool)
+        follows[: len(ahead) - 1] = ahead[1:] == ahead[: len(ahead) - 1]
+        tied[ranks] = ~new | follows
+        last, name = now[-1], own[-1]
 
 
 def _run(text: np.ndarray, at: int, cap: int) -> int:
@@ -208,27 +391,38 @@ def _run(text: np.ndarray, at: int, cap: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def sorted_suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _prefixes(eight: _Eight, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of suffix pairs, at most ``cap``."""
+    out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+    for depth in range(0, cap, 8):
+        same = _common(eight.at(a[open_] + depth), eight.at(b[open_] + depth))
+        out[open_] += same
+        open_ = open_[same == 8]
+        if not len(open_):
+            break
+    return np.minimum(out, cap)
+
+
+def sorted_suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20, store: Store | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (position, common prefix with the suffix before it, at most ``cap``), from the largest suffix down.
 
-    ``text``: bytes other than 0, which stands for the end. Suffixes that agree in ``cap`` bytes come in an arbitrary order. The queues hold ``memory``
-    bytes and put the rest on disk; the text itself takes two bytes a position (it may be a memory map)."""
+    ``text``: bytes from 1 to 254 (0 stands for the end), which may be a memory map; ``cap`` is 254 at most. Suffixes that
+    agree in ``cap`` bytes come in an arbitrary order. Arrays and queues hold some ``memory`` bytes and have the rest on
+    disk."""
     n = len(text)
     if not n:
         return
+    store = store or Store(memory // 2)
     kind = np.int32 if n < 1 << 31 else np.int64
-    step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-    # the next place where the byte changes decides; at the end, a suffix is larger than its successor
-    nxt = np.where(step != 0, np.arange(n - 1, dtype=kind), kind(n - 1))
-    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-    small = np.zeros(n, bool)
-    small[: n - 1] = np.concatenate([step, np.array([-1], step.dtype)])[nxt] > 0
-    del nxt, step
-    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
-    seeds, seed_lcp = _order_seeds(text, seeds, cap)
-    starts = np.searchsorted(text[seeds], np.arange(257))
-    queue, larger = DiskQueues(256, memory), DiskQueues(256, memory)
-    up = _Induction(text, ~small, queue, cap)
+    small = _types(text, store)
+    seeds = _ranked_seeds(text, small, cap, store, kind)
+    eight = _Eight(text)
+    firsts = np.zeros(256, np.int64)
+    for a in range(0, len(seeds), _BLOCK):
+        firsts += np.bincount(text[seeds[a : a + _BLOCK]], minlength=256)
+    starts = np.concatenate([[0], np.cumsum(firsts)]).tolist()
+    queue, larger = DiskQueues(256, memory // 4), DiskQueues(256, memory // 4)
+    up = _Induction(text, small, False, queue, cap)
     queue.push(int(text[n - 1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
     up.fresh[text[n - 1]] = False
     for c in range(256):
@@ -242,14 +436,19 @@ def sorted_suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20) -> Iter
             last = int(pos[-1])
         for a in range(starts[c], starts[c + 1], _BLOCK):
             b = min(a + _BLOCK, starts[c + 1])
-            pos, lcp = seeds[a:b], seed_lcp[a:b].astype(np.uint8)
+            pos = np.asarray(seeds[a:b])
+            lcp = np.zeros(b - a, np.uint8)
+            before = a if a == starts[c] else a - 1
+            wide = np.asarray(seeds[before:b]).astype(np.int64)
+            lcp[b - a - len(wide) + 1 :] = _prefixes(eight, wide[1:], wide[:-1], cap)
             if a == starts[c]:
                 lcp[0] = 0 if last is None else min(_run(text, last, cap), _run(text, int(pos[0]), cap))
             up.scan(pos, lcp)
-    del seeds, seed_lcp
+    store.done(seeds)
+    del seeds
     queue.close()
-    queue = DiskQueues(256, memory)
-    down = _Induction(text, small, queue, cap)
+    queue = DiskQueues(256, memory // 4)
+    down = _Induction(text, small, True, queue, cap)
     for c in range(255, -1, -1):
         last = None
         for pos, lcp in queue.take(c):
@@ -272,3 +471,4 @@ def sorted_suffixes(text: np.ndarray, cap: int, memory: int = 256 << 20) -> Iter
             after = ahead
     queue.close()
     larger.close()
+    store.done(small)

@@ -2,15 +2,15 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pitchgrid.llm import components, itq_dedup, ngram_join, shingles, suffix_dedup
+from pitchgrid.llm import components, itq_dedup, ngram_join, shingles, suffix_dedup, suffix_sort
 from pitchgrid.llm.common import Scratch
-from pitchgrid.llm.suffix_sort import sorted_suffixes
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -103,13 +103,14 @@ def test_a_large_group_around_the_threshold(spark):
         assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, direct_rows=4, block_rows=block).collect()} == want
 
 
-def test_remove_repeats(docs):
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_remove_repeats(docs, hot):
     texts = {k * 3: (t or "").encode() for k, t in enumerate(corpus())}
     first = {}
     for i in sorted(texts):
         for k in range(len(texts[i]) - 49):
             first.setdefault(texts[i][k : k + 50], i)
-    got = suffix_dedup.remove_repeats(docs, chunk_bytes=2000, shard_memory=2000, carry=["n"]).collect()
+    got = suffix_dedup.remove_repeats(docs, chunk_bytes=2000, shard_memory=2000, hot_strings=hot, carry=["n"]).collect()
     assert len(got) == docs.count()
     for r in got:
         if r["doc_id"] is None:
@@ -126,12 +127,16 @@ def test_remove_repeats(docs):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 4), min_size=1, max_size=90), st.integers(1, 40), st.sampled_from([64, 1 << 20]))
-def test_sorted_suffixes(values, cap, memory):
-    text = np.array(values * 2, np.uint8)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=90), st.integers(1, 60), st.sampled_from([64, 1 << 20]), st.integers(1, 3), st.sampled_from([3, 64, 1 << 16]))
+def test_sorted_suffixes(values, cap, memory, times, block):
+    text = np.array(values * times, np.uint8)
     raw = text.tobytes()
-    got = [(int(p), int(c)) for pos, lcp in sorted_suffixes(text, cap, memory) for p, c in zip(pos, lcp, strict=True)]
+    real, suffix_sort._BLOCK = suffix_sort._BLOCK, block
+    try:
+        got = [(int(p), int(c)) for pos, lcp in suffix_sort.sorted_suffixes(text, cap, memory) for p, c in zip(pos, lcp, strict=True)]
+    finally:
+        suffix_sort._BLOCK = real
     assert sorted(p for p, _ in got) == list(range(len(raw)))
     for (p, _), (q, c) in zip(got[:-1], got[1:], strict=True):
         a, b = raw[p : p + cap], raw[q : q + cap]
@@ -139,6 +144,55 @@ def test_sorted_suffixes(values, cap, memory):
         assert c == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_keys_sorted_by_runs_on_disk():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 50_000, 300_000).astype(np.uint64)
+    keys[::3] = 7
+    store = suffix_sort.Store(1 << 18)
+    assert (suffix_sort.sorted_places(keys, store) == np.argsort(keys, kind="stable")).all() and store.on_disk > 0
+
+
+def test_a_shard_far_larger_than_its_memory():
+    """Ten times the memory and more: arrays go to disk, and what is removed is what brute force removes."""
+    rng = random.Random(3)
+    phrase = bytes(rng.randrange(97, 123) for _ in range(25))
+    memory = 80_000
+    strings, ids = [], []
+    for k in range(14_000):
+        own = bytes(rng.randrange(97, 123) for _ in range(40))
+        strings.append(own[:25] + phrase + own[25:] if k % 7 else strings[rng.randrange(len(strings))][rng.choice([0, 8]) :] if strings else own + phrase)
+        ids.append(rng.randrange(5_000))
+    first = {}
+    for s, i in zip(strings, ids, strict=True):
+        for p in range(len(s) - 49):
+            first[s[p : p + 50]] = min(i, first.get(s[p : p + 50], i))
+    shard, sent = suffix_dedup.Shard(50, memory), []
+    for a in range(0, len(strings), 700):
+        seen = {}
+        for s, i in zip(strings[a : a + 700], ids[a : a + 700], strict=True):
+            low, high = seen.get(s, (i, i))
+            seen[s] = min(low, i), max(high, i)
+        sent.append(list(seen))
+        shard.add(a, list(seen), np.array([x[0] for x in seen.values()]), np.array([x[1] for x in seen.values()]))
+    assert sum(map(len, strings)) > 10 * memory
+    tracemalloc.start()
+    got = {source: (whole, by, parts) for source, whole, by, parts in shard.less()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shard.on_disk > 10 * memory and peak < 12_000_000
+    for a, own in zip(range(0, len(strings), 700), sent, strict=True):
+        whole, by, parts = got.get(a, (np.zeros(0, int), np.zeros(0, int), np.zeros((3, 0), int)))
+        less, windows = dict(zip(whole.tolist(), by.tolist(), strict=True)), {}
+        for j, p, n in parts.T.tolist():
+            windows.setdefault(j, set()).update(range(p, p + n))
+        place = {s: j for j, s in enumerate(own)}
+        for s, i in zip(strings[a : a + 700], ids[a : a + 700], strict=True):
+            want = {p for p in range(len(s) - 49) if first[s[p : p + 50]] < i}
+            j = place[s]
+            mine = set(range(len(s) - 49)) if less.get(j, i) < i else windows.get(j, set())
+            assert mine == want
+
+
 def test_shingles_ignore_case_and_space():
     doc, h = shingles.doc_shingles(["A b c d e", "a  B\nC d E", "a b c d f", "", "a b", "a b c d e a b c d e"])
     by = {k: set(h[doc == k].tolist()) for k in range(6)}
