@@ -93,7 +93,8 @@ def plan(
             F.col(id_col).cast("long").alias("_id"),
             F.col(source_col).cast("string").alias("_source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"),
-            F.xxhash64(F.col(id_col).cast("long"), text).alias("_hash"),
+            # 60 bits of MD5, which other engines have as well
+            F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), text)), 1, 15), 16, 10).cast("long").alias("_hash"),
             *(F.col(c).alias(f"_carry_{c}") for c in carry),
         )
     )
@@ -110,7 +111,7 @@ def plan(
         "_source string, _k int, _source_size long, _target double, _aim long, _pieces array<struct<start: double, weight: double, slope: double, before: double>>",
     )
     bits = log2_ceil(max([1, *(r["n"] for r in found)]) // rows_per_bucket + 1)
-    bucket = F.shiftrightunsigned("_hash", 64 - bits).cast("int") if bits else F.lit(0)
+    bucket = F.shiftright("_hash", 60 - bits).cast("int") if bits else F.lit(0)
     rows = rows.join(F.broadcast(dim), rows["_source"].eqNullSafe(dim["_source"])).drop("_source").withColumn("_bucket", bucket)
     # prefix sums in two levels: ranges of buckets within a source, then buckets within a range
     sums = rows.groupBy("_k", "_bucket").agg(F.sum("_size").alias("_in_bucket")).withColumn("_range", F.shiftright("_bucket", bits // 2))

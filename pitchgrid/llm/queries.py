@@ -22,7 +22,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = (mixing.FADING, mixing.CONSTANT, mixing.RISING)
     planned = mixing.plan(table(spark, sf_dir, "documents"), lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3])
-    return mixing.by_position(planned).drop("copies")
+    return mixing.by_position(planned).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
 
+#: Targets by filling up: sources in the order in which their cap is reached, the rest shared by weight from the first on
+#: that its share doesn't cap.
+ORACLES["op2_mix_sources"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, 1 + k % 3 AS w, 3 * source_size AS cap, sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 3 * source_size / (1 + k % 3), k) AS i FROM s),
+o AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+f AS (SELECT min(i) AS i FROM o WHERE rest * w <= cap * weights),
+t AS (SELECT o.source, o.k, o.source_size, CASE WHEN o.i < f.i THEN o.cap::DOUBLE ELSE first.rest::DOUBLE * o.w / first.weights END AS target FROM o, f, o first WHERE first.i = f.i),
+p AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS aim,
+        (sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (greatest(0, least(aim - place, size)) + greatest(0, least(aim - source_size - place, size)) + greatest(0, least(aim - 2 * source_size - place, size)))::BIGINT AS taken FROM p
+"""
+
 ORACLES["op5_suffix_dedup"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
