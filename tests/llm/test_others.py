@@ -1,6 +1,9 @@
 """Mixing, search, toxicity, HTML extraction and the pipeline."""
 
+import html.parser
+import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +152,36 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), None).count() == 0 and not any(r["toxic"] for r in toxicity.score(docs, None).collect())
 
 
+def plain_loss(x, y, w, th, penalty):
+    """The balanced log loss of the cumulative-link model, document by document, and the L1 penalty."""
+    total = penalty * sum(abs(v) for v in w)
+    n_bad = sum(g > 0 for g in y)
+    for row, grade in zip(x, y, strict=True):
+        at_most = [0.0, *(1 / (1 + math.exp(-(t - row @ w))) for t in th), 1.0]
+        total -= math.log(max(at_most[grade + 1] - at_most[grade], 1e-12)) / (2 * n_bad if grade > 0 else 2 * (len(y) - n_bad))
+    return total
+
+
+def test_the_fit_is_the_minimum():
+    """By the loss told plainly: no point nearby is better, and its differences vanish where weights aren't zero."""
+    rng = np.random.default_rng(1)
+    n, d, penalty = 300, 6, 0.01
+    x = (rng.random((n, d)) < 0.4).astype(float)
+    y = np.clip(np.round(x @ [2, 1, 0, 0, -1, 0] + rng.normal(0, 0.7, n)), 0, 2).astype(int)
+    rows, cols = np.nonzero(x)
+    w, th = toxicity.fit_ordinal(rows, cols, (n, d), y, penalty, rounds=4000)
+    best = plain_loss(x, y, w, th, penalty)
+    assert th[0] < th[1] and w[0] > w[1] > 0 > w[4]
+    for k in range(d + 2):
+        for step in (1e-2, -1e-2, 1e-1, -1e-1):
+            v = np.concatenate([w, th])
+            v[k] += step
+            assert plain_loss(x, y, v[:d], v[d:], penalty) >= best - 1e-6
+    for k in (*np.flatnonzero(np.abs(w) > 0.1), d, d + 1):
+        up, down = (np.concatenate([w, th]) + s * 1e-4 * (np.arange(d + 2) == k) for s in (1, -1))
+        assert abs(plain_loss(x, y, up[:d], up[d:], penalty) - plain_loss(x, y, down[:d], down[d:], penalty)) / 2e-4 < 2e-3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- c --><div class="ad">Buy</div>
 <article><h1>Head &amp; more</h1><p><b>First
   part<br>second<p>Third &lt;3 &am</p><div class="comments"><p>I disagree</p></div><form><p>mail</p></form></article><aside>side</aside><footer>&copy; foot</footer>"""
@@ -187,6 +220,89 @@ def test_raw_elements_end_where_they_do():
     assert html_text.parse(f"<div>{dots}<script>x</SCRIPT><b>bold</b> tail</div>")[0] == f"{dots}bold tail"
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<script>if(a<b)x</script><p>one</p>", "one"),
+        ("<style>a<b{}</style><p>one</p>", "one"),
+        ("<script>var s='</div>';if(a</b/)y</script ><p>one</p>", "one"),
+        ("<scripted>text</scripted>", "text"),
+        ("<!--><p>one</p>", "one"),
+        ("\u0130" * 16 + "<script>1</script><p>one</p>", "\u0130" * 16 + " one"),
+        ('<article class="post no-sidebar"><p>body</p></article>', "body"),
+        ('<div id="content" class="with-sidebar"><p>body</p></div>', "body"),
+        ('<div class="content sidebar-left"><p>body</p></div>', "body"),
+        ('<div class="widget-area"><p>all there is</p></div>', "all there is"),
+        ('<div class="sidebar"><p>aside</p></div><p>body</p>', "body"),
+    ],
+)
+def test_raw_elements_and_names(html, want):
+    assert html_text.parse(html)[0] == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    shapes = [lambda d: "<div>" * d + "deep" + "</div>" * d, lambda d: "<p><button>" + "<div>" * d + "deep", lambda d: "<span>" * d + "deep" + "</b>" * d, lambda d: "<article>" * d + "deep"]
+    for shape in shapes:
+        took = []
+        for d in (5_000, 20_000):
+            began = time.perf_counter()
+            got = html_text.parse(shape(d))[0]
+            took.append(time.perf_counter() - began)
+            assert got in ("deep", "")  # a button's content isn't text
+        assert took[1] < 12 * took[0] + 0.2
+
+
+class _Outside(html.parser.HTMLParser):
+    """Text outside of elements that hold none, by the standard library's parser; blocks part words."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "ul", "li", "nav", "br"):
+            self.out.append(" ")
+        if tag != "br":
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "ul", "li", "nav"):
+            self.out.append(" ")
+        while self.open and self.open.pop() != tag:
+            pass
+
+    def handle_data(self, data):
+        if not {"nav", "script", "style"} & set(self.open):
+            self.out.append(data)
+
+
+_words = st.text("ab<&; \n1\u00e9", max_size=6).map(lambda t: t.replace("<", "&lt;").replace("&", "&amp;", 0))
+_tree = st.recursive(
+    _words, lambda inner: st.tuples(st.sampled_from(["div", "b", "span", "nav", "script", "ul", "br"]), st.lists(inner, max_size=4)), max_leaves=20
+)
+
+
+def _written(node, raw=False):
+    if isinstance(node, str):
+        return "" if raw else node
+    tag, inner = node
+    if tag == "br":
+        return "<br>"
+    if tag == "script":
+        return "<script>if(a<b)'</div>'+x</script>"
+    return f"<{tag}>{''.join(map(_written, inner))}</{tag}>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_tree, max_size=5))
+def test_text_as_another_parser_has_it(trees):
+    page = "".join(map(_written, trees))
+    other = _Outside()
+    other.feed(page)
+    other.close()
+    assert html_text.parse(page)[0] == " ".join("".join(other.out).split())
+
+
 def test_site_templates(spark):
     body = lambda k, t: f"<html><body><div><p>Welcome to the site</p></div>{'<article>' if t else ''}<p>Story {k} itself</p><div><span>Shared box</span></div><p>Common line</p>{'</article>' if t else ''}</body></html>"
     rows = [(k, f"https://One.example.com:80/{k}", body(k, k % 2), "x") for k in range(40)] + [(100, "http://two.example.com/", body(100, 0), "x"), (101, None, None, "x"), (None, "nonsense", "", "x")]
@@ -221,6 +337,50 @@ def test_mix_takes_rows_without_an_id_one_by_one(spark):
     assert got == {t: n for t, n in want.items() if n} and len(got) > 10 and "" not in got
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_removed int, n_bytes string, kept string, size int, copies string, _id string, position double, component_id long, id string, n int, _row string, _none string, toxic string, component string, ids string, `a.b` string"
+
+
+def odd_documents(spark, rows=True):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    data = [(k, body(k), "en", "ab"[k % 2], 7, 1, "b", "k", 2, "c", "i", 0.5, 9, "x", 3, "r", "none", "t", "c", "d", "dot") for k in range(20)]
+    rest = data[0][5:]
+    data += [(None, body(100), "en", "a", 7, *rest), (None, None, None, None, None, *rest), (30, None, "en", "a", 0, *rest), (31, "", "en", None, 0, *rest), (3, body(3), "en", "b", 7, *rest), (40, body(5) + " tail", "en", "a", 7, *rest), (50, "word " * 60_000, "en", "b", 7, *rest)]
+    return spark.createDataFrame(data if rows else [], CLASHING)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_nulls_and_clashing_names(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = odd_documents(spark)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    empty = stage(spark, odd_documents(spark, False), SF)
+    assert empty.count() == 0 and empty.columns == out.columns
+    if k == 4:
+        assert len(rows) == docs.count() and sum(r["n_tokens"] == 0 for r in rows) == 3
+        return
+    assert out.columns == docs.columns and [f.dataType for f in out.schema.fields] == [f.dataType for f in docs.schema.fields]
+    own = {(r["kept"], r["_id"], r["a.b"], r["n_removed"], r["size"], r["_none"]) for r in rows}
+    assert own == {("k", "i", "dot", 1, 2, "none")}
+    texts = [r["text"] for r in rows]
+    if name == "toxicity":
+        assert len(rows) == docs.count()
+    if name == "near_duplicates":
+        # the repeated row and the near copy go; rows without an id, and texts without words, stay
+        assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [*range(20), 30, 31, 50] and texts.count(None) == 2
+    if name == "repeats":
+        assert texts.count(None) == 2 and texts.count("") == 1 and [r["text"] for r in rows if r["doc_id"] == 40][0].endswith("tail")
+        assert all(r["n_chars"] in (7, 0, None) or r["n_chars"] == len(r["text"]) for r in rows)
+    if name == "mix":
+        assert None not in texts and "" not in texts and 50 in {r["doc_id"] for r in rows}
+
+
+def test_near_duplicates_keep_the_same_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text number {k % 3} of one id", "en", "a", k) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), SF).collect() for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_queries_return_their_columns(spark):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     want = {"op2_mix_sources": ["doc_id", "size", "source_size", "target", "taken"], "op9_html_text": ["page_id", "url", "text", "n_chars"], "op3_hilbert_search": ["query_id", "rank", "vec_id", "score"]}
