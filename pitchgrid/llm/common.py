@@ -5,9 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import math
 import mmap
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +56,7 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/pitchgrid-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []
+        small_batches(spark)
         atexit.register(self._at_exit)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -115,6 +116,7 @@ def partitions(spark: SparkSession) -> int:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Only the id and the text, under names that can't clash: ``id`` long and ``text`` string, null text as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
@@ -145,7 +147,9 @@ def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[list[
 #: Glibc's way to give freed memory back to the system; other C libraries have none.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes that a worker may hold on to: its libraries alone take nearly as much.
-_KEPT = 160 << 20
+_KEPT = 110 << 20
+#: Bytes of a batch that goes to a Python worker, and of those that it answers with.
+_ARROW = 2 << 20
 
 
 def give_back() -> None:
@@ -156,10 +160,17 @@ def give_back() -> None:
     except OSError:  # no such file system
         return
     # resident pages less those shared with files
-    if (int(fields[1]) - int(fields[2])) * mmap.PAGESIZE > _KEPT:
-        gc.collect()
-        if _TRIM:
-            _TRIM(0)
+    if _TRIM and (int(fields[1]) - int(fields[2])) * mmap.PAGESIZE > _KEPT:
+        _TRIM(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python hold 2 MB, unless it has asked for fewer: rows are counted by ten
+    thousands otherwise, whatever their length, and texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"(\d+)b?$", spark.conf.get(key))
+    if held and not 0 < int(held[1]) < _ARROW:
+        spark.conf.set(key, str(_ARROW))
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -24,6 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pitchgrid.llm.common import Scratch, lean, log2_ceil, partitions, rows_of, texts
@@ -36,7 +37,7 @@ from pitchgrid.llm.vectors import groups
 _KEY_BITS = 48
 #: Never in UTF-8.
 _GAP = b"\xff"
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _BLOCK = 1 << 16
 
 
@@ -263,9 +264,11 @@ def remove_repeats(
     shard_memory: int = 64 << 20,
     hot_strings: int = 20_000,
     carry: Sequence[str] = (),
+    whole_characters: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``
-    (binary: the remaining bytes), with the columns named in ``carry`` before them.
+    (binary: the remaining bytes), with the columns named in ``carry`` before them. With ``whole_characters``, ``kept``
+    also lacks the bytes that are left of characters cut in part, so that it is text.
 
     Removed is each UTF-8 byte covered by a ``length``-byte string that also starts in a document with a smaller id;
     strings are judged on the input. Null and empty texts have 0 bytes. A null id neither removes nor loses bytes;
@@ -291,7 +294,11 @@ def remove_repeats(
     plain = texts(docs, id_col, text_col, F.struct(*carry, F.lit(True).alias("_")).alias("extra"))
     extra_type = plain.schema["extra"].dataType
     extra_kind = to_arrow_type(extra_type)
-    chunks = scratch.write_bucketed(plain.mapInArrow(lean(cut), f"chunk long, ids array<long>, sizes array<long>, extra array<{extra_type.simpleString()}>, blob binary"), tasks, "chunk")
+    # by types: names of carried columns may hold any character
+    longs = T.ArrayType(T.LongType())
+    chunk_type = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", longs), T.StructField("sizes", longs), T.StructField("extra", T.ArrayType(extra_type)), T.StructField("blob", T.BinaryType())])
+    done_type = T.StructType([T.StructField("id", T.LongType()), T.StructField("extra", extra_type), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    chunks = scratch.write_bucketed(plain.mapInArrow(lean(cut), chunk_type), tasks, "chunk")
 
     def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         for k in range(batch.num_rows):
@@ -408,6 +415,8 @@ def remove_repeats(
                 held, rows = 0, []
                 for k, (i, a, n) in enumerate(zip(row["ids"], starts.tolist(), sizes.tolist(), strict=True)):
                     kept = b[a : a + n][~gone[a : a + n]].tobytes() if removed[k] else raw[a : a + n]
+                    if whole_characters and removed[k]:
+                        kept = kept.decode("utf-8", "ignore").encode()
                     rows.append((i, row["extra"][k], n, int(removed[k]), int(spans[k]), kept))
                     held += n
                     if held >= 1 << 21:
@@ -417,7 +426,7 @@ def remove_repeats(
                     yield _batch(rows, extra_kind)
 
     joined = chunks.join(shared.hint("merge"), "chunk", "left").join(runs.hint("merge"), "chunk", "left").select("ids", "sizes", "extra", "blob", "shared", "runs")
-    done = joined.mapInArrow(lean(unite), f"id long, extra {extra_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = joined.mapInArrow(lean(unite), done_type)
     return done.select(F.col("id").alias(id_col), *(F.col("extra")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.common import Scratch, lean, rows_of, texts
+from pitchgrid.llm.common import Scratch, lean, rows_of, small_batches, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -153,14 +153,12 @@ def fit(
     )
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ys, whole = (c.to_pylist() for c in batch.columns)
-            for k in range(0, len(ids), 500):
-                bag = [sorted(_features(set(_WORD.findall(t.lower())))) for t in whole[k : k + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500]), pa.array(ys[k : k + 500], pa.int32()), pa.array(bag, pa.list_(pa.string()))], ["id", "y", "features"])
+        for ids, whole, ys in rows_of(batches, 1 << 18):
+            bag = [sorted(_features(set(_WORD.findall(t.lower())))) for t in whole]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(bag, pa.list_(pa.string()))], ["id", "y", "features"])
 
     # repeated ids would weigh twice: one row of each takes part
-    known = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", "text").dropDuplicates(["id"])
+    known = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "text", "y").dropDuplicates(["id"])
     bag = scratch.write(known.mapInArrow(lean(bags), "id long, y int, features array<string>"))
     n_of = {r["pos"]: r["n"] for r in bag.groupBy((F.col("y") > 0).alias("pos")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n_of.get(True, 0), n_of.get(False, 0)
@@ -202,7 +200,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     exceeds with a probability of a half or more) and ``toxic`` (grade >= 1).
 
     The whole text counts. Null and empty texts get the severity of a text without known features; a null id stays
-    null; repeated rows each give a row; without a model (see ``fit``) every severity is 0.
+    null; repeated rows each give a row; an empty table gives none; other columns are left out, whatever their names;
+    without a model (see ``fit``) every severity is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +217,23 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return texts(docs, id_col, text_col).mapInArrow(lean(run), f"{id_col} long, severity double, grade int, toxic boolean")
 
 
-def rejected(model: Model | None):
-    """The column function text -> boolean that filters by the model without a join."""
+def clean(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that the model doesn't grade 1 or more, with all their columns, whatever their names.
+
+    The whole text counts. A null text is graded as an empty one; repeated rows and rows without an id are graded like
+    all others; an empty table gives an empty one; without a model all rows stay."""
+    if model is None:
+        return docs
+    names = docs.columns
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def toxic(text):
-        if model is None:
-            return text.isna() & False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model.weights)
-        return text.fillna("").map(lambda t: scorer(t) >= model.thresholds[0]).astype(bool)
+        for batch in batches:
+            column = batch.column(names.index(text_col))
+            for k in range(0, batch.num_rows, 256):
+                scores = [scorer(t or "") for t in column.slice(k, 256).to_pylist()]
+                keep = pa.array([s < model.thresholds[0] for s in scores], pa.bool_())
+                yield batch.slice(k, 256).filter(keep)
 
-    return toxic
+    return docs.mapInArrow(lean(run), docs.schema)

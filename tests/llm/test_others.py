@@ -147,7 +147,7 @@ def test_toxicity(spark):
         if r["doc_id"] is not None and r["doc_id"] < 1500:
             by_count.setdefault(sum(w in bad for w in rows[r["doc_id"]][1].split()), []).append(r["severity"])
     assert np.mean(by_count[0]) < np.mean(by_count[1]) < np.mean(by_count[8])
-    assert docs.filter(toxicity.rejected(model)("text")).count() == sum(r["toxic"] for r in got)
+    assert toxicity.clean(docs, model).count() == sum(not r["toxic"] for r in got)
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
     assert toxicity.score(docs.limit(0), None).count() == 0 and not any(r["toxic"] for r in toxicity.score(docs, None).collect())
 
