@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is graded as an empty one; rows without an id and repeated rows are graded like all others. Without
     labels of both kinds, or on an empty table, nothing goes. Other columns pass unchanged, whatever their names."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(~toxicity.rejected(model)("text"))
+    return toxicity.clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +57,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     empty ones empty; rows without an id, and rows of one id among each other, lose nothing. An empty table gives an
     empty one. Other columns pass unchanged, whatever their names."""
 
-    @F.pandas_udf("string")
-    def readable(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
     rows = docs.select("doc_id", "text", _whole(docs.drop("text")), F.col("text").isNull().alias("_none"))
-    cut = suffix_dedup.remove_repeats(rows, carry=["_row", "_none"]).filter("n_removed < n_bytes or n_bytes = 0")
-    cut = cut.withColumn("_text", F.when(F.col("n_removed") > 0, readable("kept")).when(~F.col("_none"), F.col("kept").cast("string")))
+    cut = suffix_dedup.remove_repeats(rows, carry=["_row", "_none"], whole_characters=True).filter("n_removed < n_bytes or n_bytes = 0")
+    cut = cut.withColumn("_text", F.when(~F.col("_none"), F.col("kept").cast("string")))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
