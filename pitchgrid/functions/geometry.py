@@ -12,6 +12,11 @@ def distance(x1, y1, x2, y2) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def norm(x, y) -> Column:
+    """Length of a vector."""
+    return F.sqrt(_c(x) * _c(x) + _c(y) * _c(y))
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 

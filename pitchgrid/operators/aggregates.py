@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchgrid.functions.geometry import label_place, label_text
+from pitchgrid.operators import folds
 
 
 def zscore(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -22,6 +26,25 @@ def median_residual(rows: DataFrame, column: str, keys: Sequence[str]) -> DataFr
     return rows.join(means, list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col(column) - F.col("_m"))).alias("median_residual"))
 
 
+def neighbour_distance(rows: DataFrame, columns: Sequence[str], k: int, keys: Sequence[str]) -> DataFrame:
+    """The exact median, over an object's points, of the distance to the ``k``-th nearest of them, the point itself counted;
+    NULL for objects of fewer than ``k`` points. An object's points are compared in blocks inside a task."""
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("median_distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in folds.objects(batches, len(keys)):
+            z = np.column_stack([table[c].to_numpy() for c in columns]).astype(float)
+            far = []
+            for a in range(0, len(z) if len(z) >= k else 0, 512):
+                d = np.sqrt(((z[a : a + 512, None, :] - z[None, :, :]) ** 2).sum(2))
+                far.append(np.partition(d, k - 1, axis=1)[:, k - 1])
+            median = float(np.median(np.concatenate(far))) if far else None
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().slice(0, 1) for c in keys), pa.array([median], pa.float64())], [*keys, "median_distance"])
+
+    whole = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).dropna(subset=list(columns))
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def last_seen(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last position from 1 with a point, 0 if none."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("frame"))

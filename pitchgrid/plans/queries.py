@@ -456,6 +456,22 @@ def median_residual(spark, d):
     return m.select("object_id", r6("median_residual").alias("median_residual"))
 
 
+@query(
+    "SELECT o.object_id, round(median_distance, 6) + 0.0 AS median_distance FROM (SELECT DISTINCT object_id FROM trk WHERE x IS NOT NULL AND y IS NOT NULL) o LEFT JOIN (SELECT object_id, median(d) AS median_distance FROM "
+    "(SELECT a.object_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.object_id, a.frame ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS k "
+    "FROM trk a JOIN trk b ON a.object_id = b.object_id AND a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL) WHERE k = 10 GROUP BY object_id) USING (object_id)",
+    TRK,
+)
+def neighbour_distance(spark, d):
+    m = aggregates.neighbour_distance(views.tracks(spark, d).select("object_id", "x", "y"), ["x", "y"], 10, K)
+    return m.select("object_id", r6("median_distance").alias("median_distance"))
+
+
+@query("SELECT object_id, frame, round(sqrt(x * x + y * y), 6) + 0.0 AS length FROM trk", TRK)
+def vector_norm(spark, d):
+    return views.tracks(spark, d).select("object_id", "frame", r6(g.norm("x", "y")).alias("length"))
+
+
 @query("SELECT frame, string_agg(object_id::VARCHAR, ' ' ORDER BY object_id) FILTER (team < 1) AS home, string_agg(object_id::VARCHAR, ' ' ORDER BY object_id) FILTER (team >= 1) AS away, count(*) AS n FROM mom GROUP BY frame", MOM)
 def moments(spark, d):
     m = raw.keep_first(views.moment_rows(spark, d), ["frame", "object_id"], ["event_id"])
