@@ -140,6 +140,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[list[
             if held >= max_bytes:
                 yield out
                 out, held = [], 0
+                give_back()
     if out:
         yield out
 

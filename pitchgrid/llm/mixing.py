@@ -71,6 +71,7 @@ def plan(
     max_sources: int = 100_000,
     rows_per_bucket: int = 1_000,
     carry: Sequence[str] = (),
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document: the id, ``size`` (words), ``source_size``, ``target`` (of its source), ``taken`` (words
     the mix takes of it, repeats counted) and ``copies``, an array of (copy, words, position), plus ``carry``.
@@ -83,10 +84,11 @@ def plan(
     is taken more than ``most`` times, rounded up. Null and empty texts have size 0 and are never taken; a null id is kept; an empty
     table gives an empty result. The driver holds one row per source and refuses more than ``max_sources``. A source
     of any size is summed by hash buckets of about ``rows_per_bucket`` rows, and these by ranges of buckets, so a task
-    that sums a source has the root of its number of buckets.
+    that sums a source has the root of its number of buckets. ``scratch`` holds what the result reads; whoever gives it
+    may drop it when the result is written.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = scratch.write(
         docs.select(

@@ -83,8 +83,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return length & position & suffix
 
 
-def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, chunk_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
-    """Written tables: per input row (id, n, rep); per class that can link (rep, n, alone, hist, shared): ``alone``
+def shingle_classes(docs: DataFrame, scratch: Scratch, kept: Scratch, id_col: str, text_col: str, words: int, percent: int, chunk_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
+    """Written tables: per input row (id, n, rep), in ``kept``; per class that can link (rep, n, alone, hist, shared): ``alone``
     shingles are its own only, ``shared`` are the others' hashes, rarest first, ``hist`` counts these by hash."""
     spark, tasks = docs.sparkSession, partitions(docs.sparkSession)
     bits = min(20, log2_ceil(8 * tasks))
@@ -148,7 +148,7 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
     # the least id of equal sets stands for them; one row of that id carries the set
     # written, so that the join deals both sides anew and a large group of copies can be split
     reps = scratch.write(rows.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "chunk", "k")).alias("rep")))
-    rows = scratch.write(rows.join(reps, ["n", "f1", "f2"], "left").select("chunk", "k", "id", "n", F.col("rep.id").alias("rep"), ((F.col("rep.chunk") == F.col("chunk")) & (F.col("rep.k") == F.col("k"))).alias("carries")))
+    rows = kept.write(rows.join(reps, ["n", "f1", "f2"], "left").select("chunk", "k", "id", "n", F.col("rep.id").alias("rep"), ((F.col("rep.chunk") == F.col("chunk")) & (F.col("rep.k") == F.col("k"))).alias("carries")))
     carriers = rows.filter("carries").select("chunk", "k", "rep", "n", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("blob"))
     answers = counted.filter(F.col("blob").isNotNull()).select("chunk", "k", F.lit(None).cast("long").alias("rep"), "n", "size", "blob")
     share = percent
@@ -177,6 +177,7 @@ def shingle_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
 
     both = carriers.unionByName(answers).repartition(tasks, "chunk").sortWithinPartitions("chunk")
     sets = scratch.write(both.select("chunk", "k", "rep", "n", "size", "blob").mapInArrow(lean(gather), "rep long, n int, alone int, hist array<int>, shared array<long>"))
+    scratch.release(counted, reps)
     return rows.select("id", "n", "rep"), sets
 
 
@@ -209,10 +210,12 @@ def near_duplicates(
     document frequency: what the star rounds leave unconnected is compared in full, pair by pair for shingles of up to
     ``direct_rows`` classes, and for the others in blocks of ``block_rows`` classes inside tasks.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows, sets = shingle_classes(docs, scratch, id_col, text_col, words, percent)
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows, sets = shingle_classes(docs, scratch, kept, id_col, text_col, words, percent)
     links = linked(sets, scratch, percent, star_rounds, direct_rows, block_rows)
-    found = components(links, scratch)
+    found = kept.write(components(links, scratch))
+    # the result reads the rows and their components only
+    scratch.drop()
     return (
         rows.join(found.withColumnRenamed("id", "rep"), "rep", "left")
         .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
