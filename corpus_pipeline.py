@@ -75,9 +75,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table gives an empty one. Other columns pass unchanged, whatever their names."""
     shapes = (mixing.FADING, mixing.CONSTANT, mixing.RISING)
     rows = docs.select("doc_id", "text", "source", _whole(docs))
-    planned = mixing.plan(rows, lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3], whole=True, carry=["_row"])
+    scratch = Scratch(spark)
+    planned = mixing.plan(rows, lambda k, s: 1.0 + k % 3, lambda k, s: shapes[k % 3], whole=True, carry=["_row"], scratch=scratch)
     # written, as range-sorting reads its input twice
     taken = Scratch(spark).write(planned.select("doc_id", "_row", F.explode("copies").alias("_c")))
+    scratch.drop()
     return taken.orderBy("_c.position", "doc_id", "_c.copy").select(_columns(docs))
 
 
