@@ -33,7 +33,7 @@ from pitchgrid.llm.token_counts import pieces
 
 _CHUNK = "chunk long, parts array<struct<ids: array<long>, units_of: array<int>, units: binary>>, words_of binary, words binary, own binary, asks array<struct<p: int, words: binary>>"
 #: Bytes of text that are Python objects at one time, and distinct units that a chunk remembers.
-_PART, _UNITS = 1 << 20, 150_000
+_PART, _UNITS = 1 << 20, 400_000
 
 
 def _pack(raw: bytes) -> bytes:
@@ -150,7 +150,7 @@ def encode(
     of the pattern separately. The pattern must let a single space between two other characters start a match, as
     all patterns with `` ?\\p{L}+`` do. Null and empty texts have no ids; a null id stays null; repeated rows each
     give a row; an empty table gives none; other columns are left out. A chunk is full at ``chunk_bytes``
-    characters or some 150,000 distinct units; a text of any length is in one chunk whole.
+    characters or some 400,000 distinct units; a text of any length is in one chunk whole.
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
