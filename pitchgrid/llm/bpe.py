@@ -143,8 +143,10 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk_bytes: int = 32 << 20,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per input row: the id, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers, binary).
+    """One row per input row: the id, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers, binary); with
+    ``tokens``, also ``decoded`` as ``decode`` gives it of the ids, in the same pass over them.
 
     The ids are those of the tiktoken library for the rank file and the pattern, without special tokens: each match
     of the pattern separately. The pattern must let a single space between two other characters start a match, as
@@ -195,17 +197,20 @@ def encode(
                     ["chunk", "p", "sizes", "flat"],
                 )
 
+    lookup = _broadcast_tokens(tokens) if tokens is not None else None
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from _assemble({c: batch.column(c)[k].as_py() for c in batch.schema.names}, width, id_col)
+                for part in _assemble({c: batch.column(c)[k].as_py() for c in batch.schema.names}, width, id_col):
+                    yield from _with_bytes([part], "ids", "decoded", lookup.value) if lookup else [part]
 
     chunks = scratch.write_bucketed(texts(docs, id_col, text_col).mapInArrow(lean(cut), _CHUNK), n, "chunk")
     asks = chunks.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.p", "a.words")
     answers = asks.repartition(n, "p").sortWithinPartitions("p").mapInArrow(lean(answer), "chunk long, p int, sizes binary, flat binary")
     answers = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("p", "sizes", "flat"))).alias("answers"))
     joined = chunks.drop("asks").join(answers.hint("merge"), "chunk", "left")
-    return joined.mapInArrow(lean(join), f"{id_col} long, n_tokens long, ids binary")
+    return joined.mapInArrow(lean(join), f"{id_col} long, n_tokens long, ids binary" + ", decoded binary" * (lookup is not None))
 
 
 def _assemble(row: dict, width: str, id_col: str) -> Iterator[pa.RecordBatch]:
@@ -242,23 +247,23 @@ def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
     return spark.createDataFrame([(r, b) for b, r in vocabularies.ranks(ranks_path).items()], "id int, bytes binary")
 
 
-def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", max_tokens: int = 1 << 21) -> DataFrame:
-    """``encoded`` with ``out_col``, the bytes of its ids, by a map-side join with ``tokens`` (see ``token_table``).
-
-    The table is broadcast, which its size must allow: more than ``max_tokens`` rows raise. Null ids give null, no ids
-    empty bytes; an id that the table lacks raises; an empty table gives an empty result; a column that has the name
-    ``out_col`` is replaced."""
-    encoded = encoded.drop(out_col)
-    spark, kept = encoded.sparkSession, encoded.columns
+def _broadcast_tokens(tokens: DataFrame, max_tokens: int = 1 << 21):
+    """The sizes of the tokens by id (-1 where there is none) and their bytes joined, as a broadcast variable."""
     rows = tokens.select(F.col("id").cast("long").alias("id"), "bytes").limit(max_tokens + 1).toArrow()
     if len(rows) > max_tokens:
         raise ValueError(f"more than {max_tokens} tokens: too many to broadcast")
     by_id = dict(zip(rows["id"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
     sizes = np.full(max(by_id, default=-1) + 2, -1, np.int64)
     sizes[list(by_id)] = [len(b) for b in by_id.values()]
-    table = spark.sparkContext.broadcast((sizes, b"".join(by_id[i] for i in sorted(by_id))))
+    return tokens.sparkSession.sparkContext.broadcast((sizes, b"".join(by_id[i] for i in sorted(by_id))))
+
 
-    def bytes_of(ids: bytes | None, sizes: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> bytes | None:
+def _with_bytes(batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str, table: tuple[np.ndarray, bytes]) -> Iterator[pa.RecordBatch]:
+    """The batches with the bytes of each row's ids: the map side of the join."""
+    sizes, joined = table
+    ends, flat = np.cumsum(np.maximum(sizes, 0)), np.frombuffer(joined, np.uint8)
+
+    def bytes_of(ids: bytes | None) -> bytes | None:
         if ids is None:
             return None
         at = np.minimum(np.frombuffer(ids, "<u4").astype(np.int64), len(sizes) - 1)
@@ -266,15 +271,25 @@ def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out_col:
             raise ValueError("an id that the token table lacks")
         return gather(flat, ends, at)[0].tobytes()
 
+    for batch in batches:
+        at = batch.schema.get_field_index(ids_col)
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            out = [bytes_of(x) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col])
+
+
+def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", max_tokens: int = 1 << 21) -> DataFrame:
+    """``encoded`` with ``out_col``, the bytes of its ids, by a map-side join with ``tokens`` (see ``token_table``).
+
+    The table is broadcast, which its size must allow: more than ``max_tokens`` rows raise. Null ids give null, no ids
+    empty bytes; an id that the table lacks raises; an empty table gives an empty result; a column that has the name
+    ``out_col`` is replaced."""
+    encoded = encoded.drop(out_col)
+    table = _broadcast_tokens(tokens, max_tokens)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, joined = table.value
-        ends, flat = np.cumsum(np.maximum(sizes, 0)), np.frombuffer(joined, np.uint8)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                out = [bytes_of(x, sizes, ends, flat) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*kept, out_col])
+        yield from _with_bytes(batches, ids_col, out_col, table.value)
 
     schema = encoded.select("*", F.lit(None).cast("binary").alias(out_col)).schema
     return encoded.mapInArrow(lean(run), schema)

@@ -83,7 +83,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return length & position & suffix
 
 
-def shingle_classes(docs: DataFrame, scratch: Scratch, kept: Scratch, id_col: str, text_col: str, words: int, percent: int, chunk_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
+def shingle_classes(docs: DataFrame, scratch: Scratch, kept: Scratch, id_col: str, text_col: str, words: int, percent: int, chunk_bytes: int = 3 << 19) -> tuple[DataFrame, DataFrame]:
     """Written tables: per input row (id, n, rep), in ``kept``; per class that can link (rep, n, alone, hist, shared): ``alone``
     shingles are its own only, ``shared`` are the others' hashes, rarest first, ``hist`` counts these by hash."""
     spark, tasks = docs.sparkSession, partitions(docs.sparkSession)

@@ -15,7 +15,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = vocabularies.public_path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), bpe.token_table(spark, path))
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, tokens=bpe.token_table(spark, path))
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -41,7 +41,7 @@ def _bytes_table() -> np.ndarray:
     return t
 
 
-def _segments(texts: list[bytes], most: int = 1 << 20) -> list[list[int]]:
+def _segments(texts: list[bytes], most: int = 1 << 18) -> list[list[int]]:
     out, held = [[]], 0
     for k, t in enumerate(texts):
         if held and held + len(t) > most:

@@ -45,6 +45,8 @@ def test_byte_bpe_round_trip(spark, docs):
     got = bpe.decode(bpe.encode(docs, path, P.PATTERN, chunk_bytes=6000), tokens).collect()
     assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in got) == want
     assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
+    at_once = bpe.encode(docs, path, P.PATTERN, chunk_bytes=6000, tokens=tokens).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert bpe.decode(bpe.encode(docs.limit(0), path, P.PATTERN), tokens).count() == 0
     odd = spark.createDataFrame([(None, "x"), (bytes(), "x"), (b"\x05\0\0\0", "x")], "ids binary, decoded string")
     by_id = {r["id"]: bytes(r["bytes"]) for r in tokens.filter("id = 5").collect()}
